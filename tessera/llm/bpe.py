@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Matches remembered by a worker, at most twice as many; matches held at once.
-REMEMBERED, RUN = 250_000, 400_000
+REMEMBERED, RUN = 400_000, 2_000_000
 #: Longest match, in bytes, that shares an array of trees.
 SHARED = 64
 _NONE = np.int64(1) << np.int64(60)
@@ -156,10 +156,13 @@ class Bpe:
                     out[k] = ids
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces, as text."""
+    def forget(self) -> None:
+        """Once the table is full, keep only what is asked for again."""
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces, as text."""
         unknown = []
         for p in pieces:
             if (ids := self.old.get(p)) is not None:
@@ -202,12 +205,14 @@ def _digests(vocabulary: Callable[[], Bpe]) -> Callable[[Iterator[pa.RecordBatch
                     group.append(texts[at + len(group)].as_py() or "")
                     size += len(group[-1])
                 counts, ids_sha, decoded_sha = [], [], []
+                bpe.forget()
                 whole = [bpe.split.findall(t) if len(t) <= RUN else None for t in group]
                 bpe.learn({p for w in whole if w for p in w if p not in bpe.new})
                 for text, known in zip(group, whole, strict=True):
                     a, b, n = hashlib.sha256(), hashlib.sha256(), 0
                     for pieces in [known] if known is not None else bpe.pieces(text):
                         if known is None:
+                            bpe.forget()
                             bpe.learn({p for p in pieces if p not in bpe.new})
                         if pieces:
                             ids = ",".join(map(bpe.new.__getitem__, pieces))
