@@ -8,10 +8,12 @@ components follow by alternating large-star and small-star steps.
 Hot groups.  Equal sets collapse to one node first (partial aggregation), so exact
 copies never meet in pairs.  Within buckets, pairs are not enumerated: each round
 picks a pivot per bucket, members are verified against the pivots that most of their
-buckets name, and buckets whose members have become one component leave.  A few
-rounds settle groups of near copies of any size with a number of verified pairs in
-proportion to their members.  What is left after them is compared in full across
-components, so no proposed link is lost.
+buckets name, and buckets whose members have become one component leave.  After the
+first and the last round, shingles that no open set of another component has are set
+aside: the rest bounds every intersection to come from above, which takes out,
+exactly, the strays that resemble a group but not closely enough.  A few rounds settle groups of near copies of any size with a
+number of verified pairs in proportion to their members.  What is left after them is
+compared in full across components, so no proposed link is lost: see ``_left_over``.
 
 At the defaults (50 bands of 5 minima) a pair at similarity 0.75 escapes all bands
 with probability 1.3e-6, one at 0.8 with 2e-9.
@@ -43,9 +45,12 @@ class MinHash:
     percent: int = 75
     bands: int = 50
     rows: int = 5
-    #: Pivot rounds before what is left is compared in full, and pivots tried per node in each.
-    rounds: int = 4
-    pivots: int = 2
+    #: Pivot rounds before what is left is compared in full; pivots of a bucket and pivots that a node tries in each.
+    rounds: int = 2
+    pivots: int = 8
+    tries: int = 4
+    #: Open sets that share a rare shingle at most.
+    rare: int = 8
     seed: int = 7
 
 
@@ -143,6 +148,14 @@ def _confirmed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as rows of one shingle each."""
+    for batch in batches:
+        for name, members, c in zip(*batch.columns, strict=True):
+            g = np.frombuffer(members.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.repeat(name, len(g)), pa.repeat(c, len(g))], ["g", "node", "c"])
+
+
 def components(ws: Workspace, links: DataFrame) -> DataFrame:
     """Rows (v, root) for every node of ``links`` (u, v); root is the smallest node reachable.
 
@@ -170,6 +183,30 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
+def _left_over(open_: DataFrame, single: DataFrame, p: MinHash) -> DataFrame:
+    """All pairs (u, v) across components that may still be links, found in two ways.
+
+    Call a shingle rare if at most ``rare`` open sets have it, and let k be a set's count
+    of other shared shingles.  A pair whose intersection must exceed the smaller k shares
+    a rare shingle, and is found, with their number, by the shingle: each brings at most
+    ``rare`` partners, whatever the size of the group.  Any other pair is found in its
+    buckets, from the side that isn't in the bucket's largest component.
+    """
+    enough = f"(100 + {p.percent}) * (least(k, k2) + r) >= {p.percent} * (n + m) and 100 * least(n, m) >= {p.percent} * greatest(n, m)"
+    facts = open_.select("node", "n", "k").distinct()
+    few = single.where(F.col("df") <= p.rare).join(facts, "node").select("g", "node", "c", "n", "k")
+    other = few.select("g", F.col("node").alias("v"), F.col("c").alias("e"), F.col("n").alias("m"), F.col("k").alias("k2"))
+    rare = few.withColumnRenamed("node", "u").join(other, "g").where("u < v and c <> e").groupBy("u", "v").agg(F.count(F.lit(1)).alias("r"), *(F.first(x).alias(x) for x in ("n", "m", "k", "k2")))
+
+    dense = open_.where(f"100 * k >= {p.percent} * n")
+    main = dense.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "c")).alias("x")).select("h", F.col("x.c").alias("d"))
+    dense = dense.join(main, "h")
+    side = dense.where("c <> d").select("h", F.col("node").alias("u"), "n", "k", "c")
+    rest = dense.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("k").alias("k2"), F.col("c").alias("e"), "d", F.lit(0).alias("r"))
+    close = side.join(rest, "h").where("c <> e and (e = d or u < v)").where(enough)
+    return rare.where(enough).select("u", "v").union(close.select("u", "v")).distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, kept."""
     with Workspace(spark) as ws:
@@ -193,31 +230,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()
             b = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
             return ws.table(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirmed(p.percent), "u binary, v binary, linked boolean"))
 
+        # An intersection can't exceed the smaller of the two sets' counts of shared shingles, nor fall below what the threshold asks of their sizes.
         roots, tried = None, None
-        open_ = members.withColumn("c", F.col("node"))
-        fits = F.expr(f"100 * least(n, m) >= {p.percent} * greatest(n, m)")
+        open_ = members.withColumn("c", F.col("node")).withColumn("s", F.col("n")).withColumn("k", F.col("n"))
+        fits = F.expr(f"100 * least(n, m) >= {p.percent} * greatest(n, m) and (100 + {p.percent}) * least(s, z) >= {p.percent} * (n + m)")
         for t in range(p.rounds + 1):
             mixed = open_.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
             open_ = ws.table(open_.join(mixed, "h"))
             if open_.isEmpty():
                 break
+            if t in (1, p.rounds):
+                # Shingles that no open set of another component has are in no intersection to come.
+                here = open_.select("node", "c").distinct()
+                single = sets.join(here, "node").select("node", "members", "c").mapInArrow(_single, "g long, node binary, c binary")
+                foreign = single.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("df")).where("c0 <> c1").select("g", "df")
+                single = ws.table(single.join(foreign, "g"))
+                common = single.groupBy("node").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("df") > p.rare).alias("k"))
+                open_ = ws.table(open_.drop("s", "k").join(common, "node").where(f"100 * s >= {p.percent} * n").select("h", "node", "n", "c", "s", "k"))
             if t < p.rounds:
-                # The pivot is a member of the bucket's largest component; another one each round.
-                turn = F.xxhash64("node", F.lit(t))
-                groups = open_.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(turn, "node", "n")).alias("p"))
-                lead = groups.groupBy("h").agg(F.max(F.struct("size", "p", "c")).alias("x")).select("h", F.col("x.p.node").alias("v"), F.col("x.p.n").alias("m"), F.col("x.c").alias("d"))
+                # A few members of each bucket are its pivots, others each round; a node tries those that most of its buckets name.
+                turn = Window.partitionBy("h").orderBy(F.xxhash64("node", F.lit(t)), "node")
+                lead = open_.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= p.pivots).select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("s").alias("z"), F.col("c").alias("d"))
                 votes = open_.join(lead, "h").where("c <> d").where(fits).groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("votes"))
                 if tried is not None:
                     votes = votes.join(tried.select("u", "v"), ["u", "v"], "left_anti")
                 best = Window.partitionBy("u").orderBy(F.desc("votes"), "v")
-                pairs = votes.withColumn("k", F.row_number().over(best)).where(F.col("k") <= p.pivots).select("u", "v")
+                pairs = votes.withColumn("k", F.row_number().over(best)).where(F.col("k") <= p.tries).select("u", "v")
             else:
-                # All pairs across components that are left, each from the side that is not in the bucket's largest component.
-                groups = open_.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size"))
-                main = groups.groupBy("h").agg(F.max(F.struct("size", "c")).alias("x")).select("h", F.col("x.c").alias("d"))
-                few = open_.join(main, "h").where("c <> d").select("h", F.col("node").alias("u"), "n", "c")
-                rest = open_.join(main, "h").select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("e"), "d")
-                pairs = few.join(rest, "h").where(fits).where("c <> e and (e = d or u < v)").select("u", "v").distinct()
+                pairs = _left_over(open_, single, p)
                 if tried is not None:
                     pairs = pairs.join(tried.select("u", "v"), ["u", "v"], "left_anti").join(tried.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
             seen = verified(pairs)
@@ -228,7 +268,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()
             if roots is not None:
                 links = links.union(roots.select(F.col("v").alias("u"), F.col("root").alias("v")))
             roots = components(ws, links)
-            open_ = open_.drop("c").join(roots.select(F.col("v").alias("node"), F.col("root").alias("r")), "node", "left").select("h", "node", "n", F.coalesce("r", "node").alias("c"))
+            open_ = open_.drop("c").join(roots.select(F.col("v").alias("node"), F.col("root").alias("r")), "node", "left").select("h", "node", "n", F.coalesce("r", "node").alias("c"), "s", "k")
 
         per_node = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
         if roots is not None:
