@@ -204,7 +204,7 @@ def _left_over(open_: DataFrame, single: DataFrame, p: MinHash) -> DataFrame:
     side = dense.where("c <> d").select("h", F.col("node").alias("u"), "n", "k", "c")
     rest = dense.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("k").alias("k2"), F.col("c").alias("e"), "d", F.lit(0).alias("r"))
     close = side.join(rest, "h").where("c <> e and (e = d or u < v)").where(enough)
-    return rare.where(enough).select("u", "v").union(close.select("u", "v")).distinct()
+    return rare.where(enough).select("u", "v").union(close.select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,7 +259,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()
             else:
                 pairs = _left_over(open_, single, p)
                 if tried is not None:
-                    pairs = pairs.join(tried.select("u", "v"), ["u", "v"], "left_anti").join(tried.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
+                    pairs = pairs.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
             seen = verified(pairs)
             tried = seen if tried is None else ws.table(tried.union(seen))
             links = seen.where("linked").select("u", "v")
