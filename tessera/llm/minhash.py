@@ -235,8 +235,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()
         open_ = members.withColumn("c", F.col("node")).withColumn("s", F.col("n")).withColumn("k", F.col("n"))
         fits = F.expr(f"100 * least(n, m) >= {p.percent} * greatest(n, m) and (100 + {p.percent}) * least(s, z) >= {p.percent} * (n + m)")
         for t in range(p.rounds + 1):
-            mixed = open_.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
-            open_ = ws.table(open_.join(mixed, "h"))
+            mixed = open_.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("h", "size")
+            open_ = ws.table(open_.drop("size").join(mixed, "h"))
             if open_.isEmpty():
                 break
             if t in (1, p.rounds):
@@ -246,12 +246,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()
                 foreign = single.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("df")).where("c0 <> c1").select("g", "df")
                 single = ws.table(single.join(foreign, "g"))
                 common = single.groupBy("node").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("df") > p.rare).alias("k"))
-                open_ = ws.table(open_.drop("s", "k").join(common, "node").where(f"100 * s >= {p.percent} * n").select("h", "node", "n", "c", "s", "k"))
+                open_ = ws.table(open_.drop("s", "k").join(common, "node").where(f"100 * s >= {p.percent} * n").select("h", "node", "n", "c", "s", "k", "size"))
             if t < p.rounds:
-                # A few members of each bucket are its pivots, others each round; a node tries those that most of its buckets name.
+                # A few members of each bucket are its pivots, others each round.  Each bucket names one of them to each member, and a node tries those that most of its buckets name.
                 turn = Window.partitionBy("h").orderBy(F.xxhash64("node", F.lit(t)), "node")
-                lead = open_.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= p.pivots).select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("s").alias("z"), F.col("c").alias("d"))
-                votes = open_.join(lead, "h").where("c <> d").where(fits).groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("votes"))
+                lead = open_.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= p.pivots).select("h", "k", F.col("node").alias("v"), F.col("n").alias("m"), F.col("s").alias("z"), F.col("c").alias("d"))
+                named = open_.withColumn("k", (F.pmod(F.xxhash64("node", "h", F.lit(t)), F.least("size", F.lit(p.pivots))) + 1).cast("int"))
+                votes = named.join(lead, ["h", "k"]).where("c <> d").where(fits).groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("votes"))
                 if tried is not None:
                     votes = votes.join(tried.select("u", "v"), ["u", "v"], "left_anti")
                 best = Window.partitionBy("u").orderBy(F.desc("votes"), "v")
@@ -268,7 +269,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()
             if roots is not None:
                 links = links.union(roots.select(F.col("v").alias("u"), F.col("root").alias("v")))
             roots = components(ws, links)
-            open_ = open_.drop("c").join(roots.select(F.col("v").alias("node"), F.col("root").alias("r")), "node", "left").select("h", "node", "n", F.coalesce("r", "node").alias("c"), "s", "k")
+            open_ = open_.drop("c").join(roots.select(F.col("v").alias("node"), F.col("root").alias("r")), "node", "left").select("h", "node", "n", F.coalesce("r", "node").alias("c"), "s", "k", "size")
 
         per_node = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
         if roots is not None:
