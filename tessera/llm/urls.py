@@ -46,7 +46,7 @@ class UrlRule:
 def parts(url: Column) -> tuple[Column, Column]:
     """Host, A-Z lower-cased, and path."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr("substring({0}, {1} + 3)".replace("{0}", "_url").replace("{1}", "instr(_url, '://')"))).otherwise("")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     host = F.regexp_extract(rest, "^[^/?#]*", 0)
     path = F.regexp_extract(F.regexp_replace(rest, "^[^/?#]*", ""), "^[^?#]*", 0)
     return F.coalesce(F.translate(host, string.ascii_uppercase, string.ascii_lowercase), F.lit("")), F.coalesce(path, F.lit(""))
