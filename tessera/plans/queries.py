@@ -184,8 +184,8 @@ def top5_protect(spark, d):
 
 
 def _grams(x: str) -> str:
-    n = rf"regexp_replace(lower({x}), '[^0-9a-z\x{{4e00}}-\x{{9fff}}]', '', 'g')"
-    return f"list_distinct(list_transform(range(1, length({n})), lambda i: substr({n}, i, 2)))"
+    c = rf"regexp_extract_all(regexp_replace(lower({x}), '[^0-9a-z\x{{4e00}}-\x{{9fff}}]', '', 'g'), '.')"
+    return f"list_distinct(list_transform(list_zip({c}[:-2], {c}[2:]), lambda p: p[1] || p[2]))"
 
 
 _OVERLAP = f"0.01::double + 0.98::double * least(1.0::double, greatest(0.0::double, len(list_intersect({_grams('q.query')}, {_grams('d.text')}))::double / greatest(len({_grams('q.query')}), 1)))"
