@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,21 @@ def top(frame: DataFrame, by: list, order: list, limit: int, name: str = "rank")
     return ranked(frame, by, order, name).where(F.col(name) <= limit)
 
 
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame as a checkpoint in the shared folder, so that every use sees the same partitions."""
+    spark = frame.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+    return frame.checkpoint()
+
+
 def dense_index(frame: DataFrame, order: list, name: str = "record_index") -> DataFrame:
     """Numbers all rows from 0 in a total order, without bringing them into one task.
 
     Rows are sorted by range; a row's number is its place in its partition plus the
     sizes of the partitions before, of which there are few.
     """
-    placed = frame.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    placed = settled(frame.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     sizes = placed.groupBy("_p").count()
     before = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_before"))
     return placed.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")

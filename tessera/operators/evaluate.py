@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settled
+
 
 def relevant(c_ids: str = "relevant_chunk_ids") -> Column:
     """Listed chunks decide where there are any; else file and page."""
@@ -84,9 +86,7 @@ def threshold_counts(rows: DataFrame, score: str, edges: list[float], accept: Co
     hard = F.lit(True) if accept is None else accept
     per = rows.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(F.col("answerable") & hard).alias("a"), F.count_if(~F.col("answerable") & hard).alias("u"))
     per = per.union(rows.sparkSession.createDataFrame([(float(e), 0, 0) for e in edges], "threshold double, a long, u long")).groupBy("threshold").agg(F.sum("a").alias("a"), F.sum("u").alias("u"))
-    from pyspark.sql import Window
-
-    placed = per.orderBy(F.desc("threshold")).withColumn("_p", F.spark_partition_id())
+    placed = settled(per.orderBy(F.desc("threshold")).withColumn("_p", F.spark_partition_id()))
     sums = placed.groupBy("_p").agg(F.sum("a").alias("pa"), F.sum("u").alias("pu"))
     before = Window.orderBy("_p")
     sums = sums.select("_p", (F.sum("pa").over(before) - F.col("pa")).alias("ba"), (F.sum("pu").over(before) - F.col("pu")).alias("bu"))

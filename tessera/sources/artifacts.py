@@ -35,7 +35,7 @@ def with_front_matter(attributes: Column, content: Column) -> Column:
 
 def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """(kind, path, attributes, content): pages (0), then tables (1)."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     kind = F.when(F.col("path").rlike("/pages/[^/]*$"), 0).when(F.col("path").rlike("/tables/[^/]*$"), 1)
     attributes, content = front_matter(F.col("raw"))
     return files.select(kind.alias("kind"), "path", attributes.alias("attributes"), content.alias("content")).where("kind is not null")

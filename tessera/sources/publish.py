@@ -29,7 +29,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     target, fs = _fs(spark, path)
     if not fs.exists(target):
         return None
-    return spark.read.option("wholetext", "true").text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], metadata: dict) -> str:
