@@ -64,9 +64,12 @@ def deduplicated(docs: DataFrame, p: LineChunks = LineChunks(), id_col: str = "d
     first = hashed.groupBy("h").agg(F.min(F.struct("id", "a", "key", "t")).alias("f"), F.count(F.lit(1)).alias("many")).where("many > 1").select("h", "f")
     later = hashed.select("id", "key", "a", "n", "h").join(first, "h").where("not (id <=> f.id and a = f.a and key = f.key)")
     gone = later.groupBy("id", "key").agg(F.collect_set(F.struct("a", "n", F.col("f.t").alias("t"))).alias("later"))
-    met = keyed.join(gone, F.col(id_col).eqNullSafe(gone["id"]) & (F.col("_key") == gone["key"]), "left")
+    # Only the texts themselves move; their chunks are found again where they meet their candidates.
+    gone = gone.select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key"), F.col("later").alias("_later"))
+    met = docs.withColumn("_key", F.xxhash64(F.col(text_col))).join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & F.col("_key").eqNullSafe(F.col("_gone_key")), "left")
+    met = with_chunks(met, p, text_col)
     # Byte comparison with the first place, in the document itself.
-    same = F.filter(F.coalesce("later", F.array()), lambda c: _text("_lines", c["a"], c["n"]) == c["t"])
+    same = F.filter(F.coalesce("_later", F.array()), lambda c: _text("_lines", c["a"], c["n"]) == c["t"])
     met = met.withColumn("_same", F.transform(same, lambda c: c["a"]))
     stay = F.filter("_chunks", lambda c: ~F.array_contains("_same", c["a"]))
     text = F.array_join(F.transform(stay, lambda c: _text("_lines", c["a"], c["n"])), "\n")
