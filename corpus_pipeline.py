@@ -51,7 +51,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("byte_bpe", byte_bpe)]
 
-#: Near-dedup after line dedup, tiling and BPE are beyond SQL; the tests hold the pipeline against brute force.
+#: Near-dedup after line dedup, tiling and BPE are beyond SQL; the tests hold each stage's operator against brute force.
 ORACLE_SQL = None
 
 
