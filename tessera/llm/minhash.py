@@ -51,6 +51,8 @@ class MinHash:
     tries: int = 4
     #: Open sets that share a rare shingle at most.
     rare: int = 8
+    #: 64-bit words of a set's parity bitmap.
+    parity: int = 16
     seed: int = 7
 
 
@@ -123,12 +125,25 @@ def _signed(p: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def parity(values: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap that counts the set's hashes at each of its places, modulo 2.
+
+    The xor of two sets' bitmaps is the bitmap of their symmetric difference, so the
+    number of its bits never exceeds the number of shingles that only one of them has.
+    """
+    places = (values % np.uint64(64 * words)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _sets(p: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in B.blocks(batch.column(0)):
-                full = [x for x in shingle_sets(data, offsets, words) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in full], pa.binary()), pa.array([x.tobytes() for x in full], pa.binary())], ["node", "members"])
+                full = [x for x in shingle_sets(data, offsets, p.words) if len(x)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_name(x) for x in full], pa.binary()), pa.array([x.tobytes() for x in full], pa.binary()), pa.array([parity(x, p.parity) for x in full], pa.list_(pa.int64()))],
+                    ["node", "members", "bits"],
+                )
 
     return run
 
@@ -183,14 +198,17 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def _left_over(open_: DataFrame, single: DataFrame, p: MinHash) -> DataFrame:
+def _left_over(open_: DataFrame, single: DataFrame, sets: DataFrame, p: MinHash) -> DataFrame:
     """All pairs (u, v) across components that may still be links, found in two ways.
 
     Call a shingle rare if at most ``rare`` open sets have it, and let k be a set's count
     of other shared shingles.  A pair whose intersection must exceed the smaller k shares
     a rare shingle, and is found, with their number, by the shingle: each brings at most
     ``rare`` partners, whatever the size of the group.  Any other pair is found in its
-    buckets, from the side that isn't in the bucket's largest component.
+    buckets, from the side that isn't in the bucket's largest component, if the parity
+    bitmaps allow a link: they bound the difference of two sets from below, nearly by
+    its size while sets have fewer shingles than bitmaps have bits, so texts that stay
+    below the threshold leave the join without a row.
     """
     enough = f"(100 + {p.percent}) * (least(k, k2) + r) >= {p.percent} * (n + m) and 100 * least(n, m) >= {p.percent} * greatest(n, m)"
     facts = open_.select("node", "n", "k").distinct()
@@ -198,12 +216,14 @@ def _left_over(open_: DataFrame, single: DataFrame, p: MinHash) -> DataFrame:
     other = few.select("g", F.col("node").alias("v"), F.col("c").alias("e"), F.col("n").alias("m"), F.col("k").alias("k2"))
     rare = few.withColumnRenamed("node", "u").join(other, "g").where("u < v and c <> e").groupBy("u", "v").agg(F.count(F.lit(1)).alias("r"), *(F.first(x).alias(x) for x in ("n", "m", "k", "k2")))
 
-    dense = open_.where(f"100 * k >= {p.percent} * n")
+    apart = " + ".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(p.parity))
+    alike = f"{100 - p.percent} * (n + m) >= (100 + {p.percent}) * ({apart})"
+    dense = open_.where(f"100 * k >= {p.percent} * n").join(sets.select("node", "bits"), "node")
     main = dense.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "c")).alias("x")).select("h", F.col("x.c").alias("d"))
     dense = dense.join(main, "h")
-    side = dense.where("c <> d").select("h", F.col("node").alias("u"), "n", "k", "c")
-    rest = dense.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("k").alias("k2"), F.col("c").alias("e"), "d", F.lit(0).alias("r"))
-    close = side.join(rest, "h").where("c <> e and (e = d or u < v)").where(enough)
+    side = dense.where("c <> d").select("h", F.col("node").alias("u"), "n", "k", "c", "bits")
+    rest = dense.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("k").alias("k2"), F.col("c").alias("e"), "d", F.lit(0).alias("r"), F.col("bits").alias("bits2"))
+    close = side.join(rest, "h").where("c <> e and (e = d or u < v)").where(enough).where(alike)
     return rare.where(enough).select("u", "v").union(close.select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
 
 
@@ -223,7 +243,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()
         wanted = members.select("node").distinct()
         bearers = signed.select("node", "id").join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"))
         texts = rows.join(bearers.select(F.col("id").alias("b")).distinct(), F.col("id").eqNullSafe(F.col("b")), "left_semi").select("text")
-        sets = ws.table(texts.mapInArrow(_sets(p.words), "node binary, members binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+        sets = ws.table(texts.mapInArrow(_sets(p), "node binary, members binary, bits array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
         def verified(pairs: DataFrame) -> DataFrame:
             a = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
@@ -258,7 +278,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()
                 best = Window.partitionBy("u").orderBy(F.desc("votes"), "v")
                 pairs = votes.withColumn("k", F.row_number().over(best)).where(F.col("k") <= p.tries).select("u", "v")
             else:
-                pairs = _left_over(open_, single, p)
+                pairs = _left_over(open_, single, sets, p)
                 if tried is not None:
                     pairs = pairs.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
             seen = verified(pairs)

@@ -6,6 +6,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -79,6 +80,30 @@ def test_near_duplicates_family_of_edits(spark):
     assert got == {k: c for k, (_, c) in enumerate(brute_components(rows))}
 
 
+def test_parity_bounds_the_difference():
+    rnd = random.Random(3)
+    pool = [rnd.getrandbits(64) for _ in range(3000)]
+    for size in (1, 40, 400, 2000):
+        for _ in range(20):
+            x, y = (set(rnd.sample(pool, size)) for _ in range(2))
+            a, b = (minhash.parity(np.array(sorted(v), np.uint64), 16) for v in (x, y))
+            assert sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)) <= len(x ^ y)
+
+
+def test_near_duplicates_family_below_the_threshold(spark):
+    rnd = random.Random(4)
+    base = prose(rnd, 100).split(" ")
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(rnd.randint(3, 6)):
+            at = rnd.randrange(len(w) - 1)
+            w[at], w[at + 1] = w[at + 1], w[at]
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), minhash.MinHash(rounds=1, pivots=1, tries=1, rare=0)).collect()}
+    assert got == {k: c for k, (_, c) in enumerate(brute_components(rows))}
+
+
 def test_near_duplicates_odd_rows(spark, clashing, empty):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in minhash.near_duplicates(spark, clashing).collect())
     n = len(shingles(clashing.where("doc_id = 2").first().text))
