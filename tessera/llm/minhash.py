@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks as B
 from .store import Workspace
@@ -125,6 +126,19 @@ def _signed(p: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def _with_names(p: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The last column, a text, gives way to the name of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in B.blocks(batch.column(batch.num_columns - 1)):
+                names = [_name(values) if len(values) else None for values in shingle_sets(data, offsets, p.words)]
+                held = [c.slice(at, len(names)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(names, pa.binary())], batch.schema.names)
+
+    return run
+
+
 def parity(values: np.ndarray, words: int) -> np.ndarray:
     """A bitmap that counts the set's hashes at each of its places, modulo 2.
 
@@ -229,6 +243,11 @@ def _left_over(open_: DataFrame, single: DataFrame, sets: DataFrame, p: MinHash)
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, kept."""
+    return _verdicts(spark, docs, p, id_col, text_col).drop("_node", "_root")
+
+
+def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``near_duplicates`` with the name of their set and, where they are linked or repeated, the root of their group."""
     with Workspace(spark) as ws:
         id_type = docs.schema[id_col].dataType
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -298,18 +317,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()
             per_node = per_node.withColumn("root", F.col("node"))
         per_node = ws.table(per_node)
         groups = per_node.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("size"))
-        crowded = ws.table(per_node.join(groups.where("size > 1"), "root").select("node", "component_id"))
+        crowded = ws.table(per_node.join(groups.where("size > 1"), "root").select("node", "component_id", "root"))
         out = signed.select("id", "n", "node").join(crowded.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left")
         out = out.select(
             F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
             F.when(F.col("g").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
             (F.col("g").isNull() | F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))).alias("kept"),
+            F.col("node").alias("_node"), F.col("root").alias("_root"),
         )
         return ws.result(out)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
-    """Documents without the near copies of a document with a smaller id."""
-    verdict = near_duplicates(spark, docs, p)
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """One document of each group of near copies, and all documents that are linked with nothing.
+
+    Rows are told apart by id and set, so one that shares only its id (or its lack of
+    one) with a near copy stays.  Of a group stays the row with the smallest id, null
+    last; of several sets with that id the one with the smallest name, and of several
+    rows with that set the first by their values.
+    """
+    linked = _verdicts(spark, docs, p).where("_root is not null").groupBy("_root", "_node", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_node")
+    best = linked.groupBy("_root").agg(F.min(place).alias("best"))
+    with Workspace(spark) as ws:
+        marks = linked.join(best, "_root").select(F.col("doc_id").alias("_gone"), F.col("_node").alias("_gone_node"), place.eqNullSafe(F.col("best")).alias("_best"), "rows")
+        marks = ws.result(marks.where("not _best or rows > 1").drop("rows"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_near_node", T.BinaryType())])
+    named = docs.select("*", docs["text"].alias("_near_node")).mapInArrow(_with_names(p), schema)
+    met = lambda side: named["doc_id"].eqNullSafe(side["_gone"]) & (named["_near_node"] == side["_gone_node"])
+    out = named.join(marks, met(marks), "left_anti").select(*docs.columns)
+    tied = marks.where("_best")
+    if tied.isEmpty():
+        return out
+    turn = Window.partitionBy("doc_id", "_near_node").orderBy(F.to_json(F.struct(*docs.columns)))
+    first = named.join(tied, met(tied), "left_semi").withColumn("_near_turn", F.row_number().over(turn)).where("_near_turn = 1")
+    return out.union(first.select(*docs.columns))

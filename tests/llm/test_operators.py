@@ -112,6 +112,22 @@ def test_near_duplicates_odd_rows(spark, clashing, empty):
     assert minhash.keep_one(spark, clashing).columns == clashing.columns
 
 
+def test_keep_one_judges_rows(spark, clashing, texts):
+    a, b, c = texts[0], texts[5], texts[6]
+    rows = [(None, a), (None, b), (1, a), (2, c), (2, a), (3, c), (4, b.upper()), (None, None), (5, texts[7]), (5, texts[7]), (6, texts[7]), (None, texts[8]), (None, texts[8] + "\n"), (7, ""), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text and r.text.strip()) for r in minhash.keep_one(spark, docs).collect())
+    # The copy of a without id goes and b's smallest id stays; row 2 of text c stays although its namesake goes.
+    assert got == collections.Counter({(1, a): 1, (2, c): 1, (4, b.upper()): 1, (None, None): 1, (5, texts[7]): 1, (None, texts[8]): 1, (7, ""): 2})
+    got = collections.Counter((r.doc_id, r.text) for r in minhash.keep_one(spark, clashing).collect())
+    assert got == collections.Counter({(None, None): 1, (1, "one two three four five six"): 1, (2, a): 1})
+
+
+def test_keep_one_unlinked_row_without_id_stays(spark, texts):
+    docs = spark.createDataFrame([(None, texts[0]), (1, texts[0]), (None, texts[5])], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in minhash.keep_one(spark, docs).collect()) == [(0, texts[5]), (1, texts[0])]
+
+
 def test_components_chain(spark):
     from tessera.llm.store import Workspace
 
