@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @shipped
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated chunks of lines; n_chars follows the text."""
-    out = linededup.deduplicated(docs)
+    """All documents, without repeated runs of lines; n_chars follows the text."""
+    out = linededup.without_repeated_runs(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_n_chunks") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -15,10 +15,20 @@ place's text to their documents, where the comparison and the removal happen.
 Defined results.  A null text stays null, an empty one empty; a text whose chunks all
 go becomes empty.  Blank chunks stay.  Rows that repeat doc_id and text count as one
 document and keep what it keeps; a null doc_id comes first.
+
+``without_repeated_runs`` doesn't depend on where chunks end.  It removes every run of
+lines of more than ``words`` words, of one or many lines, at all places but its first,
+with exactly these lines.  From each line with words on, and up to each such line, it
+takes the shortest run of more than ``words`` words.  Whether a run is shortest is told
+by its lines alone, and these runs cover every longer one line by line, so a line lies
+in a repeated run if and only if it lies in a repeated shortest run.  Runs meet by
+SHA-256 of their text.  Blank lines at a run's ends stay.  Where a run overlaps its own
+first place, the lines of the first place stay.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -78,3 +88,76 @@ def deduplicated(docs: DataFrame, p: LineChunks = LineChunks(), id_col: str = "d
         *(F.when(F.size("_same") > 0, text).otherwise(F.col(c)).alias(c) if c == text_col else docs[c] for c in docs.columns),
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("_n_lines"), lost.alias("_n_removed"), F.size("_same").cast("long").alias("_n_chunks"),
     )
+
+
+@dataclass(frozen=True)
+class Runs:
+    #: Words that a run must exceed.
+    words: int = 50
+    #: Lines whose words are summed one by one before blocks are.
+    block: int = 128
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _running(values: Column) -> Column:
+    """Sums of the values before each place, and of all."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))
+
+
+def shortest_runs(text: Column, p: Runs) -> Column:
+    """Array of (a, n, d): first line, number of lines and digest of each shortest run."""
+
+    def coded(lines: Column, counts: Column) -> Column:
+        home = F.flatten(F.transform(counts, lambda n, k: F.array_repeat(k, n)))  # the line of each word
+        cuts = F.sequence(F.lit(0), F.floor((F.size(counts) - 1) / p.block).cast("int"))
+        inside = F.transform(cuts, lambda b: _running(F.slice(counts, b * p.block + 1, p.block)))
+
+        def run(a: Column, e: Column) -> Column:
+            return a.cast("long") * (1 << 32) + (e - a + 1)
+
+        def both(home: Column, inside: Column, before: Column) -> Column:
+            def of(n: Column, k: Column) -> Column:
+                b = F.floor(k / p.block).cast("int")
+                first = F.get(before, b) + F.get(F.get(inside, b), k % p.block)
+                return _let(first, lambda w: F.when(n > 0, F.array(run(k, F.get(home, w + p.words)), run(F.get(home, w + n - 1 - p.words), k))))
+
+            return F.array_distinct(F.filter(F.flatten(F.filter(F.transform(counts, of), lambda x: x.isNotNull())), lambda x: x.isNotNull()))
+
+        return _let(home, lambda h: _let(inside, lambda i: _let(_running(F.transform(i, lambda x: F.element_at(x, -1))), lambda b: both(h, i, b))))
+
+    def place(lines: Column, code: Column) -> Column:
+        a, n = F.shiftright(code, 32).cast("int"), code.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        return F.struct(a.alias("a"), n.alias("n"), F.unhex(F.sha2(F.array_join(F.slice(lines, a + 1, n), "\n"), 256)).alias("d"))
+
+    count = lambda x: F.regexp_count(x, F.lit("[^\\x20\\x09-\\x0D]+"))
+    return _let(_lines_of(text), lambda lines: _let(F.transform(lines, count), lambda counts: F.transform(coded(lines, counts), lambda c: place(lines, c))))
+
+
+def without_repeated_runs(docs: DataFrame, p: Runs = Runs(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with repeated runs of lines gone from ``text_col``, and _n_lines, _n_removed (lines), _n_chunks (stretches of removed lines)."""
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.explode(shortest_runs(F.col(text_col), p)).alias("c"))
+    runs = keyed.select("id", "key", F.col("c.a").alias("a"), F.col("c.n").alias("n"), F.col("c.d").alias("d"))
+    first = runs.groupBy("d").agg(F.min(F.struct("id", "a", "key")).alias("f"), F.count(F.lit(1)).alias("many")).where("many > 1").select("d", "f")
+    later = runs.join(first, "d").where("not (id <=> f.id and a = f.a and key = f.key)")
+    later = later.withColumn("b", F.expr("if(id <=> f.id and key = f.key, greatest(a, f.a + n), a)")).select("id", "key", "b", (F.col("a") + F.col("n") - 1).alias("e")).where("b <= e")
+    gone = later.groupBy(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key")).agg(F.collect_set(F.struct("b", "e")).alias("_later"))
+    met = docs.withColumn("_key", F.xxhash64(F.col(text_col))).join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & F.col("_key").eqNullSafe(F.col("_gone_key")), "left")
+    lost = F.array_sort(F.array_distinct(F.flatten(F.transform("_later", lambda r: F.sequence(r["b"], r["e"])))))
+    met = met.withColumn("_lost", F.when(F.col("_later").isNotNull(), lost))
+    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lost"), lambda k: F.get(lines, k))
+    text = _let(_lines_of(F.col(text_col)), lambda lines: F.array_join(stay(lines), "\n"))
+    opens = _let(F.col("_lost"), lambda x: F.size(F.filter(F.transform(x, lambda k, i: F.when((i == 0) | (F.get(x, i - 1) != k - 1), k)), lambda k: k.isNotNull())))
+    some = F.col("_later").isNotNull()
+    return met.select(
+        *(F.when(some, text).otherwise(F.col(c)).alias(c) if c == text_col else docs[c] for c in docs.columns),
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(_lines_of(F.col(text_col)))).cast("long").alias("_n_lines"),
+        F.when(some, F.size("_lost")).otherwise(F.lit(0)).cast("long").alias("_n_removed"), F.when(some, opens).otherwise(F.lit(0)).cast("long").alias("_n_chunks"),
+    )

@@ -51,7 +51,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linededup.without_repeated_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed", "_n_chunks": "n_chunks"})
 
 

@@ -362,6 +362,67 @@ def test_line_dedup_odd_rows(spark, clashing, empty):
     assert linededup.deduplicated(empty).count() == 0
 
 
+def brute_runs(texts, least=50):
+    """[text] -> (texts, lines removed), by every pair of places of every shortest run, in order of position in the list."""
+    count = lambda x: len(SPACED.findall(x))
+    lines = [None if t is None else t.split("\n") for t in texts]
+    places = collections.defaultdict(set)
+    for d, rows in enumerate(lines):
+        n = [count(x) for x in rows or []]
+        for k in (k for k, x in enumerate(n) if x):
+            end = next((e for e in range(k, len(n)) if sum(n[k : e + 1]) > least), None)
+            start = next((s for s in range(k, -1, -1) if sum(n[s : k + 1]) > least), None)
+            for a, e in ((k, end), (start, k)):
+                if a is not None and e is not None:
+                    places[tuple(rows[a : e + 1])].add((d, a))
+    lost = [set() for _ in texts]
+    for run, at in places.items():
+        (d, a), *later = sorted(at)
+        for x, b in later:
+            lost[x] |= set(range(max(b, a + len(run)) if x == d else b, b + len(run)))
+    return [t if not g else "\n".join(x for k, x in enumerate(rows) if k not in g) for t, rows, g in zip(texts, lines, lost, strict=True)], [len(g) for g in lost]
+
+
+def test_line_runs_match_brute_force(spark, docs, texts):
+    # The very long text is left to the next test: the brute force is quadratic.
+    short = [t if t is None or len(t) < 50_000 else t[:3000] for t in texts]
+    rnd = random.Random(12)
+    pool = [prose(rnd, n, 60) for n in (3, 8, 14, 22, 30, 45, 55)] + [""]
+    short += ["\n".join(rnd.choice(pool) for _ in range(rnd.randint(1, 14))) for _ in range(60)]
+    out = linededup.without_repeated_runs(spark.createDataFrame(list(enumerate(short)), "doc_id long, text string").repartition(3))
+    got = out.orderBy("doc_id").collect()
+    assert ([r.text for r in got], [r._n_removed for r in got]) == brute_runs(short)
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_line_runs_are_found_in_any_surroundings(spark):
+    rnd = random.Random(11)
+    rows, passages = [], []
+    for n in (2, 3, 4, 5, 6):
+        for _ in range(12):
+            passage = prose(rnd, 55 + n, -(-(55 + n) // n)).split("\n")
+            assert len(passage) == n
+            for _ in range(2):
+                passages.append(passage)
+                rows.append((len(rows), "\n".join([prose(rnd, rnd.randint(20, 60)), *passage, prose(rnd, rnd.randint(20, 60))])))
+    got = linededup.without_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, (k, t), passage in zip(got, rows, passages, strict=True):
+        text = "\n".join(passage)
+        assert r.text == (t if k % 2 == 0 else t.replace(text + "\n", "")), k
+        assert (r._n_removed, r._n_chunks) == ((0, 0) if k % 2 == 0 else (len(passage), 1))
+
+
+def test_line_runs_odd_rows(spark, clashing, empty, texts):
+    out = linededup.without_repeated_runs(clashing)
+    assert out.count() == 5 and out.columns[: len(clashing.columns)] == clashing.columns
+    assert sorted((r.doc_id or -1, r.text) for r in out.where("text is not null").collect()) == [(-1, texts[0]), (1, "one two three four five six"), (1, "one two three four five six"), (2, "")]
+    assert linededup.without_repeated_runs(empty).count() == 0
+    long = "\n".join(f"line {k} of a long text" for k in range(5000))
+    r = linededup.without_repeated_runs(spark.createDataFrame([(1, long), (2, "head\n" + long + "\ntail"), (3, "same line\n" * 60)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x.text for x in r] == [long, "head\ntail", "same line\n" * 26] and r[1]._n_removed == 5000
+
+
 # --- 7 ---
 
 
