@@ -561,6 +561,19 @@ def test_quality_matches_brute_force(spark, docs, texts, clashing, empty):
     assert quality.filtered(clashing).columns == clashing.columns
 
 
+def test_quality_limits_reject_junk_and_keep_labelled_good(spark):
+    rnd = random.Random(7)
+    # 15 words in 100 are symbols; then one passage of 60 words twice among 240; then one line of 24 words twice among 100.
+    unlike = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randint(10**5, 10**6)}" for _ in range(n)]
+    passage, line, clean = unlike(60), " ".join(unlike(24)), unlike(100)
+    rows = [(1, " ".join(unlike(85) + ["|"] * 15)), (2, " ".join(unlike(60) + passage + unlike(60) + passage)), (3, "\n".join([line, " ".join(unlike(52)), line])), (4, " ".join(clean))]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (False, False), 2: (False, False), 3: (False, False), 4: (False, True)}
+    d = "/root/testdata/sf0.1"
+    out = quality.judge(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
+    assert out.where("quality = 1 and not kept").count() == 0 and out.where("quality = 0 and kept").count() == 0
+
+
 # --- 10 ---
 
 
