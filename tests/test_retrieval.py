@@ -318,3 +318,47 @@ def test_engine_end_to_end(spark, tmp_path):
     with pytest.raises(ValueError):
         engine.ingest(broken, empty, incoming)
     assert engine.status()["chunks"] == 2
+
+
+def test_registered_queries_ask_with_whole_texts(spark, tmp_path):
+    from tessera.plans import queries
+
+    rnd = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    docs = [(k, " ".join(rnd.choices(words, k=rnd.randint(5, 40))), rnd.choice(["en", "fr", "de"]), f"src{k % 4}") for k in range(60)]
+    # The first six words are in no document, so a query cut to them finds nothing.
+    items = [(k, "a1 a2 a3 a4 a5 a6 " + " ".join(rnd.choices(words, k=rnd.randint(2, 20)))) for k in range(8)]
+    d = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    vec = [(k, [rnd.random() for _ in range(4)]) for k in range(60)]
+    spark.createDataFrame(vec, "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+
+    def brute(rows):
+        split = {k: t.split(" ") for k, t, *_ in rows}
+        avg, out = sum(map(len, split.values())) / len(split), {}
+        for q, text in items:
+            for k, t in split.items():
+                score = 0.0
+                for term in text.split(" "):
+                    df, tf = sum(term in x for x in split.values()), t.count(term)
+                    score += math.log(1 + (len(split) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / avg))
+                if score > 0:
+                    out[q, k] = score
+        best = {q: sorted(((-round(s, 6), k) for (x, k), s in out.items() if x == q))[:20] for q, _ in items}
+        return {(q, k, n + 1): -s for q, rows in best.items() for n, (s, k) in enumerate(rows)}
+
+    for query, rows in ((queries.bm25_topk, docs), (queries.bm25_active_subset, [r for r in docs if r[2] == "en"])):
+        got = {(r.qid, r.record_index, r["rank"]): r.score for r in query(spark, d).collect()}
+        assert got == pytest.approx(brute(rows), abs=2e-6)
+    assert queries.legacy_tfidf_topk(spark, d).select("qid").distinct().count() == len(items)
+    live = brute([r for r in docs if r[2] != "fr"])
+    for query in (queries.rrf_fuse, queries.search_results):
+        got = {(r.qid, r.record_index): r.bm25_rank for r in query(spark, d).collect() if r.bm25_rank}
+        assert got and got.items() <= {(q, k): n for q, k, n in live}.items()
+    grams = lambda t: {a + b for a, b in zip(t, t[1:])}
+    text, plain = {k: t.replace(" ", "") for k, t, *_ in docs}, {q: t.replace(" ", "") for q, t in items}
+    for r in queries.search_results(spark, d).collect():
+        q = grams(plain[r.qid])
+        assert r.reranker_score == pytest.approx(0.01 + 0.98 * len(q & grams(text[r.record_index])) / len(q), abs=1e-6)
+    assert queries.evidence_decision(spark, d).where("coverage > 0").count() == len(items)
