@@ -6,7 +6,7 @@ agree about where a word starts and ends.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
+def free(columns: Iterable[str], name: str) -> str:
+    """A column name like ``name`` that none of ``columns`` has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts one after another, and where each begins; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

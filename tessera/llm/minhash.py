@@ -13,7 +13,18 @@ first and the last round, shingles that no open set of another component has are
 aside: the rest bounds every intersection to come from above, which takes out,
 exactly, the strays that resemble a group but not closely enough.  A few rounds settle groups of near copies of any size with a
 number of verified pairs in proportion to their members.  What is left after them is
-compared in full across components, so no proposed link is lost: see ``_left_over``.
+compared across components, so no proposed link is lost: see ``_left_over``.
+
+Full sets are the last thing to be read.  A pair is first tried on the sketches of its
+two sets: bitmaps of four to eight bits a shingle (``sketch``) that bound the difference
+of the sets from below, so texts that resemble each other just below the threshold fall
+without their sets, and a link never does.  Members of crowded buckets are compared on
+sketches alone, in tiles of bounded size that are tasks of their own.  Keys that hold
+many rows (buckets, shingles, pivots) are dealt into as many parts as it takes
+(``Hot``), so that no join puts all rows of one key into one task.
+
+What stays quadratic: sketches in a family whose texts all resemble each other just
+below the threshold.  Its members are compared within every crowded bucket they share.
 
 At the defaults (50 bands of 5 minima) a pair at similarity 0.75 escapes all bands
 with probability 1.3e-6, one at 0.8 with 2e-9.
@@ -52,8 +63,14 @@ class MinHash:
     tries: int = 4
     #: Open sets that share a rare shingle at most.
     rare: int = 8
-    #: 64-bit words of a set's parity bitmap.
-    parity: int = 16
+    #: Members beyond which a bucket is compared in tiles, and members of a tile.
+    crowd: int = 64
+    tile: int = 256
+    #: Bits of the smallest and the largest sketch, powers of two.
+    sketch_bits: tuple[int, int] = (1 << 11, 1 << 20)
+    #: A key is dealt into parts beyond this share of all rows, and beyond this many rows.
+    hot_share: int = 1 << 18
+    hot_least: int = 512
     seed: int = 7
 
 
@@ -139,14 +156,45 @@ def _with_names(p: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def parity(values: np.ndarray, words: int) -> np.ndarray:
-    """A bitmap that counts the set's hashes at each of its places, modulo 2.
+def sketch(values: np.ndarray, p: MinHash) -> np.ndarray:
+    """A bitmap that counts the set's hashes at each of its places, modulo 2, in bytes.
 
-    The xor of two sets' bitmaps is the bitmap of their symmetric difference, so the
-    number of its bits never exceeds the number of shingles that only one of them has.
+    It has at least four bits a shingle, between the least and the most of ``p``.  The
+    xor of two sets' bitmaps is the bitmap of their symmetric difference, so the number
+    of its bits never exceeds the number of shingles that only one of them has.
     """
-    places = (values % np.uint64(64 * words)).astype(np.int64)
-    return np.packbits((np.bincount(places, minlength=64 * words) & 1).astype(np.uint8)).view(np.int64)
+    least, most = p.sketch_bits
+    bits = min(most, max(least, 1 << (4 * len(values) - 1).bit_length()))
+    places = (values & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8))
+
+
+def _folded(bitmaps: np.ndarray, width: int) -> np.ndarray:
+    """Rows of bitmaps, as bitmaps of fewer bytes: places are taken modulo the smaller size."""
+    n, wide = bitmaps.shape
+    return bitmaps if wide == width else np.bitwise_xor.reduce(bitmaps.reshape(n, wide // width, width), axis=1)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least differences of the sets behind rows of bitmaps; one row of ``a`` may face many of ``b``."""
+    width = min(a.shape[1], b.shape[1])
+    both = _folded(a, width) ^ _folded(b, width)
+    return np.bitwise_count(np.ascontiguousarray(both).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
+
+
+def _bitmaps(column: pa.Array, rows: np.ndarray, width: int) -> np.ndarray:
+    data, offsets = _bytes(column)
+    return data[offsets[rows][:, None] + np.arange(width)]
+
+
+def _widths(column: pa.Array) -> np.ndarray:
+    return np.diff(_bytes(column)[1])
 
 
 def _sets(p: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -154,15 +202,68 @@ def _sets(p: MinHash) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         for batch in batches:
             for _, data, offsets in B.blocks(batch.column(0)):
                 full = [x for x in shingle_sets(data, offsets, p.words) if len(x)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_name(x) for x in full], pa.binary()), pa.array([x.tobytes() for x in full], pa.binary()), pa.array([parity(x, p.parity) for x in full], pa.list_(pa.int64()))],
-                    ["node", "members", "bits"],
-                )
+                columns = [[_name(x) for x in full], [len(x) for x in full], [x.tobytes() for x in full], [sketch(x, p).tobytes() for x in full]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "members", "bits"])
+
+    return run
+
+
+def _alike(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (u, v) whose sketches allow a link, of rows (u, v, n, m, a, b) with sketches a and b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
+            a, b = batch.column(4), batch.column(5)
+            wide = _widths(a), _widths(b)
+            keep = np.zeros(batch.num_rows, bool)
+            for x, y in set(zip(*(w.tolist() for w in wide), strict=True)):
+                rows = np.flatnonzero((wide[0] == x) & (wide[1] == y))
+                for part in np.split(rows, np.arange(1, len(rows) * max(x, y) // B.BLOCK_BYTES + 1) * max(1, B.BLOCK_BYTES // max(x, y))):
+                    if len(part):
+                        keep[part] = (100 - percent) * sizes[part] >= (100 + percent) * _apart(_bitmaps(a, part, x), _bitmaps(b, part, y))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
+
+    return run
+
+
+def _tile(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Pairs (u, v) of a tile, a table of (part, node, n, k, c, bits), whose sketches allow a link.
+
+    Rows of part 0 are compared with those of part 1, or among each other where there
+    is no part 1.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        part, n, k = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("part", "n", "k"))
+        c = np.array(batch.column(batch.schema.get_field_index("c")).to_pylist(), object)
+        bits, node = batch.column(batch.schema.get_field_index("bits")), batch.column(batch.schema.get_field_index("node"))
+        wide = _widths(bits)
+        left, right = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
+        inner = not len(right)
+        right = left if inner else right
+        facing = {w: (rows := right[wide[right] == w], _bitmaps(bits, rows, w)) for w in np.unique(wide[right]).tolist()}
+        out: list[tuple[int, int]] = []
+        for i in left.tolist():
+            own = _bitmaps(bits, np.array([i]), int(wide[i]))
+            for rows, maps in facing.values():
+                ok = (100 * np.minimum(n[rows], n[i]) >= percent * np.maximum(n[rows], n[i])) & ((100 + percent) * np.minimum(k[rows], k[i]) >= percent * (n[rows] + n[i])) & (c[rows] != c[i])
+                if inner:
+                    ok &= rows > i
+                near = np.flatnonzero(ok)
+                if len(near):
+                    near = near[(100 - percent) * (n[rows[near]] + n[i]) >= (100 + percent) * _apart(own, maps[near])]
+                    out += [(i, j) for j in rows[near].tolist()]
+        u, v = (node.take(pa.array([x[e] for x in out], pa.int64())) for e in (0, 1))
+        return pa.table({"u": u, "v": v})
 
     return run
 
 
 def _confirmed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links (u, v) among rows (u, v, a, b) with full sets a and b."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -172,7 +273,7 @@ def _confirmed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["u", "v", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -185,20 +286,57 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.repeat(name, len(g)), pa.repeat(c, len(g))], ["g", "node", "c"])
 
 
-def components(ws: Workspace, links: DataFrame) -> DataFrame:
+class Hot:
+    """Keys of a join that hold many rows, dealt into parts of at most ``bound`` rows.
+
+    ``sizes`` has the key and ``many``, its number of rows.  A key is hot beyond ``least``
+    rows and one in ``share`` of all rows, so there are at most ``share`` hot keys and the
+    table of them, which is broadcast, has a bounded size.
+    """
+
+    def __init__(self, ws: Workspace, sizes: DataFrame, key: str, share: int, least: int) -> None:
+        total = sizes.agg(F.sum("many").alias("all"), F.max("many").alias("most")).first()
+        bound = max(least, (total["all"] or 0) // share)
+        self.key, self.table = key, None
+        if (total["most"] or 0) > bound:
+            self.table = ws.table(sizes.where(F.col("many") > bound).select(key, F.ceil(F.col("many") / bound).cast("int").alias("_w")))
+
+    def deal(self, rows: DataFrame, by: str, name: str = "x", key: str | None = None) -> DataFrame:
+        """Adds the number of the part; rows of a key differ in ``by``."""
+        if self.table is None:
+            return rows.withColumn(name, F.lit(0))
+        key = key or self.key
+        met = rows.join(F.broadcast(self.table.withColumnRenamed(self.key, key)), key, "left")
+        return met.withColumn(name, F.when(F.col("_w").isNotNull(), F.pmod(F.xxhash64(by), F.col("_w")).cast("int")).otherwise(0)).drop("_w")
+
+    def copies(self, facts: DataFrame, name: str = "x", key: str | None = None) -> DataFrame:
+        """One copy of a row for each part of its key."""
+        if self.table is None:
+            return facts.withColumn(name, F.lit(0))
+        key = key or self.key
+        met = facts.join(F.broadcast(self.table.withColumnRenamed(self.key, key)), key, "left")
+        return met.withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce("_w", F.lit(1)) - 1))).drop("_w")
+
+
+def components(ws: Workspace, links: DataFrame, large_from: int = 1 << 20) -> DataFrame:
     """Rows (v, root) for every node of ``links`` (u, v); root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges stand still.  Every
-    step is a partial minimum per node and an equi-join on the node.
+    step is a partial minimum per node and an equi-join on the node, whose many edges
+    are dealt into parts from ``large_from`` edges on.
     """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, crowded: bool) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        met = both.join(low, "u")
+        if crowded:
+            hot = Hot(ws, both.groupBy("u").agg(F.count(F.lit(1)).alias("many")), "u", 1 << 18, large_from)
+            met = hot.deal(both, "v").join(hot.copies(low), ["u", "x"]).drop("x")
+        else:
+            met = both.join(low, "u")
         if large:
             return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         own = met.select("v", "m").union(low.select(F.col("u").alias("v"), "m"))
@@ -207,22 +345,22 @@ def components(ws: Workspace, links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     edges, before = ws.table(edges), None
     while (now := state(edges)) != before:
-        before = now
-        edges = ws.table(star(star(edges, True), False))
+        before, crowded = now, now[0] > large_from
+        larger = star(edges, True, crowded)
+        edges = ws.table(star(ws.table(larger) if crowded else larger, False, crowded))
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def _left_over(open_: DataFrame, single: DataFrame, sets: DataFrame, p: MinHash) -> DataFrame:
+def _left_over(ws: Workspace, open_: DataFrame, single: DataFrame, sets: DataFrame, hot: Hot, p: MinHash) -> DataFrame:
     """All pairs (u, v) across components that may still be links, found in two ways.
 
     Call a shingle rare if at most ``rare`` open sets have it, and let k be a set's count
     of other shared shingles.  A pair whose intersection must exceed the smaller k shares
     a rare shingle, and is found, with their number, by the shingle: each brings at most
     ``rare`` partners, whatever the size of the group.  Any other pair is found in its
-    buckets, from the side that isn't in the bucket's largest component, if the parity
-    bitmaps allow a link: they bound the difference of two sets from below, nearly by
-    its size while sets have fewer shingles than bitmaps have bits, so texts that stay
-    below the threshold leave the join without a row.
+    buckets, from the side that isn't in the bucket's largest component: by a join in
+    buckets of up to ``crowd`` members, elsewhere in tiles of two runs of about ``tile``
+    members, which yield a pair only if its sketches allow a link.
     """
     enough = f"(100 + {p.percent}) * (least(k, k2) + r) >= {p.percent} * (n + m) and 100 * least(n, m) >= {p.percent} * greatest(n, m)"
     facts = open_.select("node", "n", "k").distinct()
@@ -230,15 +368,27 @@ def _left_over(open_: DataFrame, single: DataFrame, sets: DataFrame, p: MinHash)
     other = few.select("g", F.col("node").alias("v"), F.col("c").alias("e"), F.col("n").alias("m"), F.col("k").alias("k2"))
     rare = few.withColumnRenamed("node", "u").join(other, "g").where("u < v and c <> e").groupBy("u", "v").agg(F.count(F.lit(1)).alias("r"), *(F.first(x).alias(x) for x in ("n", "m", "k", "k2")))
 
-    apart = " + ".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(p.parity))
-    alike = f"{100 - p.percent} * (n + m) >= (100 + {p.percent}) * ({apart})"
-    dense = open_.where(f"100 * k >= {p.percent} * n").join(sets.select("node", "bits"), "node")
-    main = dense.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "c")).alias("x")).select("h", F.col("x.c").alias("d"))
-    dense = dense.join(main, "h")
-    side = dense.where("c <> d").select("h", F.col("node").alias("u"), "n", "k", "c", "bits")
-    rest = dense.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("k").alias("k2"), F.col("c").alias("e"), "d", F.lit(0).alias("r"), F.col("bits").alias("bits2"))
-    close = side.join(rest, "h").where("c <> e and (e = d or u < v)").where(enough).where(alike)
-    return rare.where(enough).select("u", "v").union(close.select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
+    dense = open_.where(f"100 * k >= {p.percent} * n")
+    each = dense.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "c")).alias("y"), F.sum("size").alias("many"))
+    each = each.select("h", F.col("y.c").alias("d"), F.col("y.size").alias("main"), "many").where("main < many")
+    dense = ws.table(dense.drop("size").join(hot.copies(each), ["h", "x"]))
+
+    plain = dense.where(F.col("many") <= p.crowd)
+    side = plain.where("c <> d").select("h", F.col("node").alias("u"), "n", "k", "c")
+    rest = plain.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("k").alias("k2"), F.col("c").alias("e"), "d", F.lit(0).alias("r"))
+    close = side.join(rest, "h").where("c <> e and (e = d or u < v)").where(enough).select("u", "v")
+
+    runs = lambda n: F.greatest(F.lit(1), F.ceil(n / p.tile)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    crowded = dense.where(F.col("many") > p.crowd).withColumn("own", F.col("c") == F.col("d")).withColumn("a", runs(F.col("many") - F.col("main"))).withColumn("b", runs(F.col("main")))
+    crowded = crowded.withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("own"), F.col("b")).otherwise(F.col("a"))).cast("int")).join(sets.select("node", "bits"), "node")
+    place = lambda kind, a, b, part: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"), part.cast("int").alias("part"))
+    mine = F.col("i")
+    across = F.when(F.col("own"), F.transform(upto(F.col("a")), lambda j: place(0, j, mine, F.lit(1)))).otherwise(F.transform(upto(F.col("b")), lambda j: place(0, mine, j, F.lit(0))))
+    among = F.when(F.col("own"), F.slice(across, 1, 0)).otherwise(F.transform(upto(F.col("a")), lambda j: place(1, F.least(mine, j), F.greatest(mine, j), j < mine)))
+    tiles = crowded.select("h", "node", "n", "k", "c", "bits", F.explode(F.concat(across, among)).alias("t")).select("h", "t.*", "node", "n", "k", "c", "bits")
+    found = tiles.groupBy("h", "kind", "a", "b").applyInArrow(_tile(p.percent), "u binary, v binary")
+    return rare.where(enough).select("u", "v").union(close.union(found).select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,19 +405,29 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
 
         nodes = signed.where("node is not null").dropDuplicates(["node"])
         spread = nodes.select("node", "n", F.explode("buckets").alias("h"))
-        shared = spread.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("h")
-        members = ws.table(spread.join(shared, "h"))
+        shared = ws.table(spread.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
+        hot = Hot(ws, shared, "h", p.hot_share, p.hot_least)
+        members = ws.table(hot.deal(spread, "node").join(hot.copies(shared.select("h")), ["h", "x"]))
 
         # Sets of all nodes that share a bucket.  Their texts are found by the smallest id of the node.
         wanted = members.select("node").distinct()
         bearers = signed.select("node", "id").join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"))
         texts = rows.join(bearers.select(F.col("id").alias("b")).distinct(), F.col("id").eqNullSafe(F.col("b")), "left_semi").select("text")
-        sets = ws.table(texts.mapInArrow(_sets(p), "node binary, members binary, bits array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+        sets = ws.table(texts.mapInArrow(_sets(p), "node binary, n long, members binary, bits binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
         def verified(pairs: DataFrame) -> DataFrame:
-            a = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
-            b = sets.select(F.col("node").alias("v"), F.col("members").alias("b"))
-            return ws.table(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirmed(p.percent), "u binary, v binary, linked boolean"))
+            """The links among a table of pairs: sketches first, full sets of what they let through."""
+
+            def with_both(some: DataFrame, what: list[str]) -> DataFrame:
+                many = some.select(F.col("u").alias("node")).union(some.select("v")).groupBy("node").agg(F.count(F.lit(1)).alias("many"))
+                busy = Hot(ws, many, "node", p.hot_share, p.hot_least)
+                for end, mate, names in (("u", "v", ("n", "a")), ("v", "u", ("m", "b"))):
+                    facts = sets.select(F.col("node").alias(end), *(F.col(c).alias(names[c != "n"]) for c in what))
+                    some = busy.deal(some, mate, key=end).join(busy.copies(facts, key=end), [end, "x"]).drop("x")
+                return some
+
+            alike = ws.table(with_both(pairs, ["n", "bits"]).select("u", "v", "n", "m", "a", "b").mapInArrow(_alike(p.percent), "u binary, v binary"))
+            return ws.table(with_both(alike, ["members"]).select("u", "v", "a", "b").mapInArrow(_confirmed(p.percent), "u binary, v binary"))
 
         # An intersection can't exceed the smaller of the two sets' counts of shared shingles, nor fall below what the threshold asks of their sizes.
         roots, tried = None, None
@@ -275,40 +435,41 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
         fits = F.expr(f"100 * least(n, m) >= {p.percent} * greatest(n, m) and (100 + {p.percent}) * least(s, z) >= {p.percent} * (n + m)")
         for t in range(p.rounds + 1):
             mixed = open_.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("h", "size")
-            open_ = ws.table(open_.drop("size").join(mixed, "h"))
+            open_ = ws.table(open_.drop("size").join(hot.copies(mixed), ["h", "x"]))
             if open_.isEmpty():
                 break
             if t in (1, p.rounds):
                 # Shingles that no open set of another component has are in no intersection to come.
                 here = open_.select("node", "c").distinct()
                 single = sets.join(here, "node").select("node", "members", "c").mapInArrow(_single, "g long, node binary, c binary")
-                foreign = single.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("df")).where("c0 <> c1").select("g", "df")
-                single = ws.table(single.join(foreign, "g"))
+                foreign = ws.table(single.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 <> c1").select("g", "many"))
+                common_hot = Hot(ws, foreign, "g", p.hot_share, p.hot_least)
+                single = ws.table(common_hot.deal(single, "node").join(common_hot.copies(foreign.withColumnRenamed("many", "df")), ["g", "x"]).drop("x"))
                 common = single.groupBy("node").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("df") > p.rare).alias("k"))
-                open_ = ws.table(open_.drop("s", "k").join(common, "node").where(f"100 * s >= {p.percent} * n").select("h", "node", "n", "c", "s", "k", "size"))
+                open_ = ws.table(open_.drop("s", "k").join(common, "node").where(f"100 * s >= {p.percent} * n").select("h", "x", "node", "n", "c", "s", "k", "size"))
             if t < p.rounds:
                 # A few members of each bucket are its pivots, others each round.  Each bucket names one of them to each member, and a node tries those that most of its buckets name.
                 turn = Window.partitionBy("h").orderBy(F.xxhash64("node", F.lit(t)), "node")
-                lead = open_.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= p.pivots).select("h", "k", F.col("node").alias("v"), F.col("n").alias("m"), F.col("s").alias("z"), F.col("c").alias("d"))
+                lead = open_.drop("x").withColumn("k", F.row_number().over(turn)).where(F.col("k") <= p.pivots).select("h", "k", F.col("node").alias("v"), F.col("n").alias("m"), F.col("s").alias("z"), F.col("c").alias("d"))
                 named = open_.withColumn("k", (F.pmod(F.xxhash64("node", "h", F.lit(t)), F.least("size", F.lit(p.pivots))) + 1).cast("int"))
-                votes = named.join(lead, ["h", "k"]).where("c <> d").where(fits).groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("votes"))
+                votes = named.join(hot.copies(lead), ["h", "k", "x"]).where("c <> d").where(fits).groupBy(F.col("node").alias("u"), "v").agg(F.count(F.lit(1)).alias("votes"))
                 if tried is not None:
                     votes = votes.join(tried.select("u", "v"), ["u", "v"], "left_anti")
                 best = Window.partitionBy("u").orderBy(F.desc("votes"), "v")
                 pairs = votes.withColumn("k", F.row_number().over(best)).where(F.col("k") <= p.tries).select("u", "v")
             else:
-                pairs = _left_over(open_, single, sets, p)
+                pairs = _left_over(ws, open_, single, sets, hot, p)
                 if tried is not None:
                     pairs = pairs.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-            seen = verified(pairs)
-            tried = seen if tried is None else ws.table(tried.union(seen))
-            links = seen.where("linked").select("u", "v")
+            pairs = ws.table(pairs)
+            links = verified(pairs)
+            tried = pairs if tried is None else ws.table(tried.union(pairs))
             if links.isEmpty():
                 continue
             if roots is not None:
                 links = links.union(roots.select(F.col("v").alias("u"), F.col("root").alias("v")))
             roots = components(ws, links)
-            open_ = open_.drop("c").join(roots.select(F.col("v").alias("node"), F.col("root").alias("r")), "node", "left").select("h", "node", "n", F.coalesce("r", "node").alias("c"), "s", "k", "size")
+            open_ = open_.drop("c").join(roots.select(F.col("v").alias("node"), F.col("root").alias("r")), "node", "left").select("h", "x", "node", "n", F.coalesce("r", "node").alias("c"), "s", "k", "size")
 
         per_node = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
         if roots is not None:
@@ -336,19 +497,20 @@ def keep_one(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()) -> Da
     last; of several sets with that id the one with the smallest name, and of several
     rows with that set the first by their values.
     """
-    linked = _verdicts(spark, docs, p).where("_root is not null").groupBy("_root", "_node", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    own = {x: B.free(docs.columns, x) for x in ("gone", "gone_node", "best", "node", "turn")}
+    linked = _verdicts(spark, docs.select("doc_id", "text"), p).where("_root is not null").groupBy("_root", "_node", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "_node")
     best = linked.groupBy("_root").agg(F.min(place).alias("best"))
     with Workspace(spark) as ws:
-        marks = linked.join(best, "_root").select(F.col("doc_id").alias("_gone"), F.col("_node").alias("_gone_node"), place.eqNullSafe(F.col("best")).alias("_best"), "rows")
-        marks = ws.result(marks.where("not _best or rows > 1").drop("rows"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_near_node", T.BinaryType())])
-    named = docs.select("*", docs["text"].alias("_near_node")).mapInArrow(_with_names(p), schema)
-    met = lambda side: named["doc_id"].eqNullSafe(side["_gone"]) & (named["_near_node"] == side["_gone_node"])
+        marks = linked.join(best, "_root").select(F.col("doc_id").alias(own["gone"]), F.col("_node").alias(own["gone_node"]), place.eqNullSafe(F.col("best")).alias(own["best"]), "rows")
+        marks = ws.result(marks.where(~F.col(own["best"]) | (F.col("rows") > 1)).drop("rows"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(own["node"], T.BinaryType())])
+    named = docs.select("*", docs["text"].alias(own["node"])).mapInArrow(_with_names(p), schema)
+    met = lambda side: named["doc_id"].eqNullSafe(side[own["gone"]]) & (named[own["node"]] == side[own["gone_node"]])
     out = named.join(marks, met(marks), "left_anti").select(*docs.columns)
-    tied = marks.where("_best")
+    tied = marks.where(F.col(own["best"]))
     if tied.isEmpty():
         return out
-    turn = Window.partitionBy("doc_id", "_near_node").orderBy(F.to_json(F.struct(*docs.columns)))
-    first = named.join(tied, met(tied), "left_semi").withColumn("_near_turn", F.row_number().over(turn)).where("_near_turn = 1")
+    turn = Window.partitionBy("doc_id", own["node"]).orderBy(F.to_json(F.struct(*docs.columns)))
+    first = named.join(tied, met(tied), "left_semi").withColumn(own["turn"], F.row_number().over(turn)).where(F.col(own["turn"]) == 1)
     return out.union(first.select(*docs.columns))

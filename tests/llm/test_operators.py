@@ -80,14 +80,60 @@ def test_near_duplicates_family_of_edits(spark):
     assert got == {k: c for k, (_, c) in enumerate(brute_components(rows))}
 
 
-def test_parity_bounds_the_difference():
+def test_sketches_bound_the_difference():
     rnd = random.Random(3)
-    pool = [rnd.getrandbits(64) for _ in range(3000)]
-    for size in (1, 40, 400, 2000):
-        for _ in range(20):
-            x, y = (set(rnd.sample(pool, size)) for _ in range(2))
-            a, b = (minhash.parity(np.array(sorted(v), np.uint64), 16) for v in (x, y))
-            assert sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)) <= len(x ^ y)
+    pool = [rnd.getrandbits(64) for _ in range(6000)]
+    p = minhash.MinHash(sketch_bits=(64, 1 << 14))
+    for size, other in ((1, 1), (40, 70), (400, 520), (2000, 2600), (5000, 4000)):
+        for _ in range(10):
+            x, y = set(rnd.sample(pool, size)), set(rnd.sample(pool, other))
+            a, b = (minhash.sketch(np.array(sorted(v), np.uint64), p)[None] for v in (x, y))
+            assert minhash._apart(a, b)[0] <= len(x ^ y)
+
+
+def family(rnd, n, words, share):
+    """Texts of one template in which places, different ones in each, hold words of their own."""
+    base = [f"w{rnd.getrandbits(24)}" for _ in range(words)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for at in rnd.sample(range(words), int(words * share)):
+            w[at] = f"x{k}-{at}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize(("n", "words", "share"), [(100, 300, 0.02), (100, 3000, 0.0195)])
+def test_near_duplicates_family_below_the_threshold_is_not_verified(spark, monkeypatch, n, words, share):
+    rows = family(random.Random(n), n, words, share)
+    sets = [shingles(t) for _, t in rows]
+    alike = [len(a & b) / len(a | b) for a, b in combinations(sets[:40], 2)]
+    assert 0.66 < sum(alike) / len(alike) < 0.72
+    counted = spark.sparkContext.accumulator(0)
+    confirmed = minhash._confirmed
+
+    def counting(percent):
+        run = confirmed(percent)
+
+        def counted_run(batches):
+            for batch in batches:
+                counted.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        return counted_run
+
+    monkeypatch.setattr(minhash, "_confirmed", counting)
+    got = [r.component_id for r in minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()]
+    assert got == [c for _, c in brute_components(rows)]
+    assert counted.value < 0.05 * n * (n - 1) / 2
+
+
+@pytest.mark.parametrize("p", [minhash.MinHash(rounds=0, crowd=1, tile=3, hot_least=2), minhash.MinHash(rounds=1, pivots=1, tries=1, rare=0, crowd=2, tile=7, hot_least=3)])
+def test_near_duplicates_tiles_and_parts(spark, docs, texts, p):
+    rows = list(enumerate(texts)) + [(1000 + k, t) for k, t in family(random.Random(5), 60, 120, 0.016)]
+    both = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark, both, p).collect()}
+    assert got == dict(zip([k for k, _ in rows], brute_components(rows), strict=True))
 
 
 def test_near_duplicates_family_below_the_threshold(spark):
