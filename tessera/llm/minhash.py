@@ -58,7 +58,7 @@ class MinHash:
     bands: int = 50
     rows: int = 5
     #: Pivot rounds before what is left is compared in full; pivots of a bucket and pivots that a node tries in each.
-    rounds: int = 2
+    rounds: int = 1
     pivots: int = 8
     tries: int = 4
     #: Open sets that share a rare shingle at most.
@@ -70,7 +70,7 @@ class MinHash:
     sketch_bits: tuple[int, int] = (1 << 11, 1 << 20)
     #: A key is dealt into parts beyond this share of all rows, and beyond this many rows.
     hot_share: int = 1 << 18
-    hot_least: int = 512
+    hot_least: int = 1024
     seed: int = 7
 
 
@@ -289,24 +289,25 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Hot:
     """Keys of a join that hold many rows, dealt into parts of at most ``bound`` rows.
 
-    ``sizes`` has the key and ``many``, its number of rows.  A key is hot beyond ``least``
-    rows and one in ``share`` of all rows, so there are at most ``share`` hot keys and the
-    table of them, which is broadcast, has a bounded size.
+    ``sizes`` has the key and ``many``, its number of rows; all keys have ``total``.  A key
+    is hot beyond ``least`` rows and one in ``share`` of all rows, so there are at most
+    ``share`` hot keys, and the list of them, which is broadcast, has a bounded size.
     """
 
-    def __init__(self, ws: Workspace, sizes: DataFrame, key: str, share: int, least: int) -> None:
-        total = sizes.agg(F.sum("many").alias("all"), F.max("many").alias("most")).first()
-        bound = max(least, (total["all"] or 0) // share)
-        self.key, self.table = key, None
-        if (total["most"] or 0) > bound:
-            self.table = ws.table(sizes.where(F.col("many") > bound).select(key, F.ceil(F.col("many") / bound).cast("int").alias("_w")))
+    def __init__(self, sizes: DataFrame, key: str, total: int, share: int, least: int) -> None:
+        self.key, self.table, bound = key, None, max(least, total // share)
+        if total > bound:
+            kind = sizes.schema[key].dataType.simpleString()
+            hot = [(r[0], -(-r[1] // bound)) for r in sizes.where(F.col("many") > bound).select(key, "many").collect()]
+            if hot:
+                self.table = F.broadcast(sizes.sparkSession.createDataFrame(hot, f"{key} {kind}, _w int"))
 
     def deal(self, rows: DataFrame, by: str, name: str = "x", key: str | None = None) -> DataFrame:
         """Adds the number of the part; rows of a key differ in ``by``."""
         if self.table is None:
             return rows.withColumn(name, F.lit(0))
         key = key or self.key
-        met = rows.join(F.broadcast(self.table.withColumnRenamed(self.key, key)), key, "left")
+        met = rows.join(self.table.withColumnRenamed(self.key, key), key, "left")
         return met.withColumn(name, F.when(F.col("_w").isNotNull(), F.pmod(F.xxhash64(by), F.col("_w")).cast("int")).otherwise(0)).drop("_w")
 
     def copies(self, facts: DataFrame, name: str = "x", key: str | None = None) -> DataFrame:
@@ -314,41 +315,51 @@ class Hot:
         if self.table is None:
             return facts.withColumn(name, F.lit(0))
         key = key or self.key
-        met = facts.join(F.broadcast(self.table.withColumnRenamed(self.key, key)), key, "left")
+        met = facts.join(self.table.withColumnRenamed(self.key, key), key, "left")
         return met.withColumn(name, F.explode(F.sequence(F.lit(0), F.coalesce("_w", F.lit(1)) - 1))).drop("_w")
 
+    def join(self, rows: DataFrame, facts: DataFrame, by: str, key: str | None = None) -> DataFrame:
+        """Rows with the facts of their key."""
+        key = key or self.key
+        if self.table is None:
+            return rows.join(facts, key)
+        return self.deal(rows, by, "_x", key).join(self.copies(facts, "_x", key), [key, "_x"]).drop("_x")
+
 
 def components(ws: Workspace, links: DataFrame, large_from: int = 1 << 20) -> DataFrame:
     """Rows (v, root) for every node of ``links`` (u, v); root is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edges stand still.  Every
-    step is a partial minimum per node and an equi-join on the node, whose many edges
-    are dealt into parts from ``large_from`` edges on.
+    Alternates large-star and small-star steps until the edges are stars: no node has two
+    edges to smaller nodes, or edges in both directions.  Up to ``large_from`` edges a step
+    is a minimum over each node's edges, of which there are no more; beyond, it is a
+    partial minimum and an equi-join on the node, whose many edges are dealt into parts.
     """
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
     def star(e: DataFrame, large: bool, crowded: bool) -> DataFrame:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select("u", "v")
         if crowded:
-            hot = Hot(ws, both.groupBy("u").agg(F.count(F.lit(1)).alias("many")), "u", 1 << 18, large_from)
-            met = hot.deal(both, "v").join(hot.copies(low), ["u", "x"]).drop("x")
+            sizes = both.groupBy("u").agg(F.count(F.lit(1)).alias("many"))
+            low = both.groupBy("u").agg(F.min("v").alias("m"))
+            met = Hot(sizes, "u", both.count(), 1 << 18, large_from).join(both, low, "v")
         else:
-            met = both.join(low, "u")
+            met = both.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        met = met.withColumn("m", F.least("u", "m"))
         if large:
-            return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        own = met.select("v", "m").union(low.select(F.col("u").alias("v"), "m"))
-        return own.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    edges, before = ws.table(edges), None
-    while (now := state(edges)) != before:
-        before, crowded = now, now[0] > large_from
+            return met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Every edge's two ends now point to the smallest of them.
+        own = met.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        return own.where("u <> v").distinct()
+
+    edges = ws.table(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    while True:
+        n = edges.count()
+        crowded = n > large_from
         larger = star(edges, True, crowded)
-        edges = ws.table(star(ws.table(larger) if crowded else larger, False, crowded))
-    return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
+        edges = ws.table(star(ws.table(larger.distinct()) if crowded else larger, False, crowded))
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
 def _left_over(ws: Workspace, open_: DataFrame, single: DataFrame, sets: DataFrame, hot: Hot, p: MinHash) -> DataFrame:
@@ -406,12 +417,12 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
         nodes = signed.where("node is not null").dropDuplicates(["node"])
         spread = nodes.select("node", "n", F.explode("buckets").alias("h"))
         shared = ws.table(spread.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1"))
-        hot = Hot(ws, shared, "h", p.hot_share, p.hot_least)
-        members = ws.table(hot.deal(spread, "node").join(hot.copies(shared.select("h")), ["h", "x"]))
+        hot = Hot(shared, "h", shared.agg(F.sum("many")).first()[0] or 0, p.hot_share, p.hot_least)
+        members = ws.table(hot.deal(spread, "node").join(hot.copies(shared.withColumnRenamed("many", "size")), ["h", "x"]))
 
         # Sets of all nodes that share a bucket.  Their texts are found by the smallest id of the node.
         wanted = members.select("node").distinct()
-        bearers = signed.select("node", "id").join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"))
+        bearers = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node", "left_semi")
         texts = rows.join(bearers.select(F.col("id").alias("b")).distinct(), F.col("id").eqNullSafe(F.col("b")), "left_semi").select("text")
         sets = ws.table(texts.mapInArrow(_sets(p), "node binary, n long, members binary, bits binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
@@ -420,10 +431,9 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
 
             def with_both(some: DataFrame, what: list[str]) -> DataFrame:
                 many = some.select(F.col("u").alias("node")).union(some.select("v")).groupBy("node").agg(F.count(F.lit(1)).alias("many"))
-                busy = Hot(ws, many, "node", p.hot_share, p.hot_least)
+                busy = Hot(many, "node", some.count(), p.hot_share, p.hot_least)
                 for end, mate, names in (("u", "v", ("n", "a")), ("v", "u", ("m", "b"))):
-                    facts = sets.select(F.col("node").alias(end), *(F.col(c).alias(names[c != "n"]) for c in what))
-                    some = busy.deal(some, mate, key=end).join(busy.copies(facts, key=end), [end, "x"]).drop("x")
+                    some = busy.join(some, sets.select(F.col("node").alias(end), *(F.col(c).alias(names[c != "n"]) for c in what)), mate, end)
                 return some
 
             alike = ws.table(with_both(pairs, ["n", "bits"]).select("u", "v", "n", "m", "a", "b").mapInArrow(_alike(p.percent), "u binary, v binary"))
@@ -434,8 +444,9 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
         open_ = members.withColumn("c", F.col("node")).withColumn("s", F.col("n")).withColumn("k", F.col("n"))
         fits = F.expr(f"100 * least(n, m) >= {p.percent} * greatest(n, m) and (100 + {p.percent}) * least(s, z) >= {p.percent} * (n + m)")
         for t in range(p.rounds + 1):
-            mixed = open_.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("h", "size")
-            open_ = ws.table(open_.drop("size").join(hot.copies(mixed), ["h", "x"]))
+            if roots is not None:  # without links so far, all buckets have members of several components
+                mixed = open_.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("h", "size")
+                open_ = ws.table(open_.drop("size").join(hot.copies(mixed), ["h", "x"]))
             if open_.isEmpty():
                 break
             if t in (1, p.rounds):
@@ -443,8 +454,8 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
                 here = open_.select("node", "c").distinct()
                 single = sets.join(here, "node").select("node", "members", "c").mapInArrow(_single, "g long, node binary, c binary")
                 foreign = ws.table(single.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 <> c1").select("g", "many"))
-                common_hot = Hot(ws, foreign, "g", p.hot_share, p.hot_least)
-                single = ws.table(common_hot.deal(single, "node").join(common_hot.copies(foreign.withColumnRenamed("many", "df")), ["g", "x"]).drop("x"))
+                often = Hot(foreign, "g", foreign.agg(F.sum("many")).first()[0] or 0, p.hot_share, p.hot_least)
+                single = ws.table(often.join(single, foreign.withColumnRenamed("many", "df"), "node"))
                 common = single.groupBy("node").agg(F.count(F.lit(1)).alias("s"), F.count_if(F.col("df") > p.rare).alias("k"))
                 open_ = ws.table(open_.drop("s", "k").join(common, "node").where(f"100 * s >= {p.percent} * n").select("h", "x", "node", "n", "c", "s", "k", "size"))
             if t < p.rounds:
@@ -478,8 +489,11 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
             per_node = per_node.withColumn("root", F.col("node"))
         per_node = ws.table(per_node)
         groups = per_node.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("size"))
-        crowded = ws.table(per_node.join(groups.where("size > 1"), "root").select("node", "component_id", "root"))
-        out = signed.select("id", "n", "node").join(crowded.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left")
+        crowded = ws.table(per_node.join(groups.where("size > 1"), "root").select("node", "component_id", "root", F.col("copies").alias("many")))
+        busy = Hot(crowded, "node", signed.count(), p.hot_share, p.hot_least)
+        facts = busy.copies(crowded.drop("many")).withColumnsRenamed({"node": "g", "x": "y"})
+        out = busy.deal(signed.select("id", "n", "node", F.monotonically_increasing_id().alias("place")), "place")
+        out = out.join(facts, (F.col("node") == F.col("g")) & (F.col("x") == F.col("y")), "left")
         out = out.select(
             F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
             F.when(F.col("g").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),

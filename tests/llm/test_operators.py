@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -178,9 +180,11 @@ def test_components_chain(spark):
     from tessera.llm.store import Workspace
 
     rows = [(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)]
-    with Workspace(spark) as ws:
-        got = {r.v: r.root for r in minhash.components(ws, spark.createDataFrame(rows, "u long, v long")).collect()}
-    assert got == {k: 0 for k in range(1, 61)} | {101: 100}
+    rows += [(300 + 7 * k % 50, 200) for k in range(60)] + [(200, 350), (351, 350)]
+    for large_from in (1 << 20, 5):
+        with Workspace(spark) as ws:
+            got = {r.v: r.root for r in minhash.components(ws, spark.createDataFrame(rows, "u long, v long"), large_from).collect()}
+        assert got == {k: 0 for k in range(1, 61)} | {101: 100} | {k: 200 for k in range(300, 352)}
 
 
 # --- 2 ---
@@ -218,6 +222,9 @@ def test_pii_method_adds_spans():
     assert "iban" not in kinds("IBAN DE88 3704 0044 0532 0130 00 of the bank")
     assert kinds("ssn 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
     assert kinds('token = "1eb9c654e721b4f812088970e66a6345cee33dd6"') == ["secret"]
+    for t in ("BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034 now", "BE68539007547034 A1"):
+        assert [(x.kind, t[x.start : x.end].replace(" ", "")) for x in pii.find(t)] == [("iban", "BE68539007547034")]
+    assert "iban" not in kinds("BE68 5390 0754 70345") and "iban" not in kinds("BE68  5390 0754 7034")
     t = "write to a@b.cd or 1.2.3.4"
     assert pii.masked(t, pii.find(t)) == "write to [EMAIL] or [IP]"
 
@@ -313,6 +320,37 @@ def test_ppm_code_lengths_match_a_walk():
             assert got[k, j] == pytest.approx(naive_bits(counts[lang], t.encode()), rel=1e-5, abs=1e-4)
 
 
+def test_language_predictions_match_a_walk(spark):
+    rnd = random.Random(2)
+    words = {"a": ["the", "cat", "sat", "mat", "on"], "b": ["der", "hund", "über", "dem", "hut"], "c": ["la", "casa", "niño", "el", "río"]}
+    rows = [(k, " ".join(rnd.choice(words[lang]) for _ in range(rnd.randint(1, 30))), lang) for k, lang in enumerate(rnd.choice("abc") for _ in range(120))]
+    rows += [(500, None, "a"), (501, "½ ² 12 ٣", "b"), (502, "ª", None), (503, "the hund casa", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = {r.doc_id: (r.held_out, r.lang_pred) for r in langid.identify(spark, docs).collect()}
+    out = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    counts = {}
+    for lang in words:
+        tally = collections.Counter()
+        for k, t, own in rows:
+            if own == lang and t is not None and not out(k):
+                b = t.encode()
+                tally.update((o, int.from_bytes(b[i : i + o + 1], "big")) for o in range(4) for i in range(len(b) - o))
+        counts[lang] = [(o, g, n) for (o, g), n in tally.items()]
+    for k, t, _ in rows:
+        best = min(sorted(words), key=lambda x: round(naive_bits(counts[x], (t or "").encode()), 3))
+        assert got[k] == (out(k), best if re.search("[a-zéñüª]", t or "") else "und"), (k, t)
+
+
+def test_language_scores_stand_alone():
+    m = langid.freeze({"a": [(0, 97, 3), (0, 98, 2), (1, 97 * 256 + 98, 2)], "b": [(0, 97, 1), (0, 98, 5), (1, 98 * 256 + 98, 4)]})
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abc") for _ in range(rnd.randint(0, 40))) for _ in range(200)]
+    from tessera.llm import blocks
+
+    every = m.bits(*blocks.flat(pa.array(texts)))
+    assert all((m.bits(*blocks.flat(pa.array([t]))) == every[k]).all() for k, t in enumerate(texts))
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identify(spark, docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -355,6 +393,74 @@ def test_license_method_and_suppression():
     assert labels("a license to kill") == []
 
 
+def example(pattern):
+    """The shortest text that a pattern asks for, first choices first."""
+    parser = re._parser
+
+    def told(parts):
+        out = ""
+        for op, value in parts:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(value)
+            elif name == "NOT_LITERAL":
+                out += "x"
+            elif name == "IN":
+                kind, x = value[0]
+                out += "x" if str(kind) == "NEGATE" else "1" if str(kind) == "CATEGORY" else chr(x[0] if str(kind) == "RANGE" else x)
+            elif name == "MAX_REPEAT":
+                out += told(value[2]) * value[0]
+            elif name == "SUBPATTERN":
+                out += told(value[3])
+            elif name == "BRANCH":
+                out += told(value[1][0])
+            else:
+                assert name in ("ASSERT", "ASSERT_NOT"), name
+        return out
+
+    return told(parser.parse(pattern))
+
+
+def test_every_license_rule_matches_its_example():
+    table = licenses.rules()
+    for rule in table:
+        text = example(rule.pattern.pattern)
+        assert rule.keyword in text and any(k in text for k in rule.one_of), rule
+        assert any(h.start <= 1 and h.end == len(text) + 1 for h in licenses.scan(text, table)[2]), rule
+        assert rule.label in {h.label for h in licenses.scan(text, licenses.Rules([rule]))[2]}, rule
+
+
+def test_license_texts_and_notices():
+    table = licenses.rules()
+    labels = lambda t: {h.label for h in licenses.scan(t, table)[2]}
+    assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software") == {"mit"}
+    assert labels("Redistribution and use in source and binary forms, with or without\nmodification, are permitted") == {"bsd"}
+    assert labels("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted") == {"isc"}
+    assert labels("you may not use this file except in compliance with the License") == {"apache"}
+    assert labels("(c) 2020, all rights reserved.") == {"rights-reserved"}
+
+
+def brute_detect(line, table):
+    found = sorted({(r.label, m.start(), m.end(), r.priority) for r in table for m in r.pattern.finditer(line)}, key=lambda h: (-h[3], h[1] - h[2], h[1], h[0]))
+    kept = []
+    for h in found:
+        if not any(k[1] <= h[1] and h[2] <= k[2] for k in kept):
+            kept.append(h)
+    return sorted(h[:3] for h in kept)
+
+
+def test_license_suppression_matches_brute_force():
+    rnd = random.Random(6)
+    table = licenses.rules()
+    some = [example(r.pattern.pattern) for r in table] + ["the", "released under", "all rights reserved", "license", "2 0"]
+    for _ in range(60):
+        line = " " + " ".join(rnd.choice(some) for _ in range(rnd.randint(1, 12))) + " "
+        assert sorted((h.label, h.start, h.end) for h in licenses.detect(line, table)) == brute_detect(line, table)
+    began = time.perf_counter()
+    assert len(licenses.scan("released under the mit license " * 8000, table)[2]) == 8000
+    assert time.perf_counter() - began < 3
+
+
 def test_license_rows(spark, docs, texts, clashing, empty):
     got = {r.doc_id: r.n_words for r in licenses.report(docs).collect()}
     assert got == {k: len(ALNUM.findall(low(t))) for k, t in enumerate(texts)}
