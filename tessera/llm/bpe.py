@@ -25,8 +25,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Matches remembered by a worker, at most twice as many; matches held at once.
-REMEMBERED, RUN = 400_000, 2_000_000
+#: Matches remembered by a worker and their characters with their ids; the table is turned over beyond
+#: either, so a worker holds two such tables and what one run adds.  Characters, and matches, of a run.
+REMEMBERED, REMEMBERED_BYTES, RUN = 400_000, 48 << 20, 2_000_000
 #: Longest match, in bytes, that shares an array of trees.
 SHARED = 64
 _NONE = np.int64(1) << np.int64(60)
@@ -48,6 +49,7 @@ class Bpe:
         self.pairs = pairs
         self.new: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.size = 0
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
@@ -158,8 +160,8 @@ class Bpe:
 
     def forget(self) -> None:
         """Once the table is full, keep only what is asked for again."""
-        if len(self.new) > REMEMBERED:
-            self.old, self.new = self.new, {}
+        if len(self.new) > REMEMBERED or self.size > REMEMBERED_BYTES:
+            self.old, self.new, self.size = self.new, {}, 0
 
     def learn(self, pieces: set[str]) -> None:
         """Remember the ids of pieces, as text."""
@@ -167,10 +169,12 @@ class Bpe:
         for p in pieces:
             if (ids := self.old.get(p)) is not None:
                 self.new[p] = ids
+                self.size += len(p) + len(ids)
             else:
                 unknown.append(p)
         for p, ids in zip(unknown, self.encode_pieces(p.encode() for p in unknown), strict=True):
             self.new[p] = ",".join(map(str, ids))
+            self.size += len(p) + len(self.new[p])
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The matches of a text, in runs of bounded length."""
@@ -188,8 +192,16 @@ class Bpe:
         return b"".join(self.bytes_of[str(i)] for i in ids)
 
 
+#: Where the table of ranks lies: a path, or what gives it on the machine that reads it.
+Path = str | Callable[[], str]
+
+
+def load(path: Path, pattern: str) -> Bpe:
+    return _load(path() if callable(path) else path, pattern)
+
+
 @lru_cache(maxsize=2)
-def load(path: str, pattern: str) -> Bpe:
+def _load(path: str, pattern: str) -> Bpe:
     with open(path, "rb") as f:
         return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
@@ -229,12 +241,12 @@ def _digests(vocabulary: Callable[[], Bpe]) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: Path, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every text; its number of tokens and digests of ids and of decoded bytes."""
     return docs.select(id_col, text_col).mapInArrow(_digests(lambda: load(path, pattern)), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def token_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_ids(docs: DataFrame, path: Path, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids themselves, one array per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

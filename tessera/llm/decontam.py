@@ -14,7 +14,8 @@ costs no tiling.
 
 The benchmark is sent to all tasks only in blocks whose size is checked: it is cut by
 a hash of its rows into as many blocks as it takes to stay under ``block_bytes``, and
-the texts are read once per block.  Nothing is shuffled but the hits of several blocks.
+the texts are read once per block.  Nothing is shuffled but the hits of several blocks,
+which name the rows that leave by id and text.
 
 Defined results.  Null and empty texts are clean.  Items of fewer than ``least`` words
 or without text are no evidence and never match.  Rows are judged one by one; equal
@@ -27,7 +28,7 @@ import heapq
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .store import Workspace, shared_folder
+from .store import Workspace
 
 
 @dataclass(frozen=True)
@@ -133,10 +134,16 @@ class Seeds:
         return out
 
 
+@lru_cache(maxsize=2)
+def _seeds(rows: tuple[tuple[object, str], ...], p: Tiling) -> Seeds:
+    """The seeds of a block, made once in a worker."""
+    words = words_of(pa.array([t for _, t in rows], pa.string()))
+    return Seeds([(i, w) for (i, _), w in zip(rows, words, strict=True) if len(w) >= p.least], p)
+
+
 def _found(rows: list[tuple[object, str]], p: Tiling, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(pa.array([t for _, t in rows], pa.string()))
-        seeds = Seeds([(i, w) for (i, _), w in zip(rows, words, strict=True) if len(w) >= p.least], p)
+        seeds = _seeds(tuple(rows), p)
         for batch in batches:
             for at, data, offsets in B.blocks(batch.column(batch.num_columns - 1)):
                 starts, ends, first = B.spans(B.LOWER[data], offsets, B.ALNUM)
@@ -187,11 +194,18 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p:
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Tiling = Tiling()) -> DataFrame:
-    """The documents that no item contaminates, in their own columns; no shuffle."""
+    """The documents that no item contaminates, in their own columns.
+
+    One block needs no shuffle.  Of several, each is read past all texts and writes the
+    rows that it hits, and one anti-join removes them in the end.
+    """
     n, blocks = benchmark_blocks(benchmark, p)
-    if n > 1:
-        shared_folder(spark)
-    for block in blocks:
-        docs = docs.select("*", F.col("text").alias("_tiled")).mapInArrow(_found(block, p, True), docs.schema)
-        docs = docs.checkpoint() if n > 1 else docs
-    return docs
+    if n == 1:
+        return docs.select("*", F.col("text").alias(B.free(docs.columns, "tiled"))).mapInArrow(_found(next(blocks), p, True), docs.schema)
+    kind, (gone, key) = docs.schema["doc_id"].dataType.simpleString(), (B.free(docs.columns, x) for x in ("gone", "gone_key"))
+    with Workspace(spark) as ws:
+        rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
+        hit = "hits array<struct<item bigint, covered bigint, words bigint>>"
+        parts = [ws.table(rows.mapInArrow(_found(block, p, False), f"id {kind}, key long, {hit}").where("size(hits) > 0").select("id", "key").distinct()) for block in blocks]
+        marks = ws.result(reduce(DataFrame.union, parts).distinct().select(F.col("id").alias(gone), F.col("key").alias(key)))
+    return docs.join(marks, docs["doc_id"].eqNullSafe(marks[gone]) & (F.xxhash64(docs["text"]) == marks[key]), "left_anti")

@@ -9,42 +9,48 @@ context is a constant, and the code length of a text is an exact sum over all it
 bytes.  The language with the shortest code wins.
 
 Frozen trees become two tables: from three bytes to the number of the longest known
-context, and from context and byte to code length.  Scoring is two look-ups per byte
-and language, in numpy over whole batches.  Bytes that no training text holds share
-one symbol: their code length is the same everywhere.
+context, and from context and byte to code length, in units of 2**-16 bit.  Scoring is
+two look-ups per byte and language, in numpy over whole batches, and sums of integers,
+so a text's score doesn't depend on the texts beside it.  Bytes that no training text
+holds share one symbol: their code length is the same everywhere.
 
 Training reads a bounded sample: the ``sample`` rows of each language with the
-smallest hashes.  Its n-grams are counted on the executors; only counts come to the
-driver, at most ``contexts`` contexts for each language and order.
-
-Defined results.  ``und`` with score 0 where the text is null or has no letter, or
-nothing was learned.  Rows are judged one by one.  Ties go to the language first in
-the alphabet.
+smallest hashes; rows that repeat id, language and text count once.  Only ids and hashes are
+ranked, first within parts of a language, then among the parts' best, so no task gets
+the rows of a language; the texts of the chosen rows are fetched afterwards.  Their
+n-grams are counted on the executors; only counts of the sample come to the driver.  All
+contexts of the sample are kept.
+
+Defined results.  ``und`` with score 0 where the text is null or has no letter (no
+character of Unicode's category L), or nothing was learned.  Rows are judged one by one.
+Ties go to the language first in the alphabet.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .store import Workspace
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+#: Units of a code length in one bit.
+_UNITS = 1 << 16
 
 
 @dataclass(frozen=True)
 class Ppm:
-    #: Training rows per language, and contexts kept per language and order.
+    #: Training rows per language.
     sample: int = 600
-    contexts: int = 4000
-    #: Times a context must have been seen.
-    least: int = 2
+    #: Parts of a language that are ranked by themselves first.
+    parts: int = 64
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +79,7 @@ class Model:
     symbol: np.ndarray  # byte -> symbol
     width: int
     state: np.ndarray  # language, three symbols -> number of the longest known context
-    cost: list[np.ndarray]  # for each language: context * width + symbol -> bits
+    cost: list[np.ndarray]  # for each language: context * width + symbol -> units of code length
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each text in each language; at a text's begin the context is shorter."""
@@ -89,8 +95,8 @@ class Model:
         key = (held[0] * (w + 1) + held[1]) * (w + 1) + held[2]
         out = np.empty((len(offsets) - 1, len(self.langs)))
         for k in range(len(self.langs)):
-            total = np.concatenate(([0.0], np.cumsum(self.cost[k][self.state[k][key] * w + s], dtype=np.float64)))
-            out[:, k] = total[offsets[1:]] - total[offsets[:-1]]
+            total = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.cost[k][self.state[k][key] * w + s], dtype=np.int64)))
+            out[:, k] = (total[offsets[1:]] - total[offsets[:-1]]) / _UNITS
         return out
 
 
@@ -128,7 +134,7 @@ def freeze(counts: dict[str, list[tuple[int, int, int]]]) -> Model:
                 at = tuple(slice(None) for _ in range(3 - len(context))) + tuple(c + 1 for c in context)
                 state[at] = k
         states.append(state.reshape(-1))
-        costs.append(-np.log2(np.array(table)).astype(np.float32).reshape(-1))
+        costs.append(np.rint(-np.log2(np.array(table)) * _UNITS).astype(np.int32).reshape(-1))
     assert other >= 0
     return Model(langs, symbol, w, np.array(states) if states else np.zeros((0, 1), np.int32), costs)
 
@@ -136,17 +142,20 @@ def freeze(counts: dict[str, list[tuple[int, int, int]]]) -> Model:
 def train(spark: SparkSession, labelled: DataFrame, p: Ppm = Ppm(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from rows with text and language."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= p.sample).select("lang", "text")
-    grams = chosen.mapInArrow(_counts, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
-    grams = grams.withColumn("context", F.when(F.col("order") == 0, F.lit(-1)).otherwise(F.shiftright("gram", 8)))
-    total = Window.partitionBy("lang", "order", "context")
-    grams = grams.withColumn("total", F.sum("n").over(total)).where((F.col("order") == 0) | (F.col("total") >= p.least))
-    rank = Window.partitionBy("lang", "order").orderBy(F.desc("total"), "context")
-    kept = grams.withColumn("rank", F.dense_rank().over(rank)).where(F.col("rank") <= p.contexts)
-    counts: dict[str, list[tuple[int, int, int]]] = {}
-    for r in kept.select("lang", "order", "gram", "n").collect():
-        counts.setdefault(r.lang, []).append((r.order, r.gram, r.n))
+    marks = rows.select("lang", "id", F.xxhash64("text").alias("key"), F.xxhash64("id").alias("place"))
+    with Workspace(spark) as ws:
+        place = [F.col("place"), F.col("id"), F.col("key")]
+        parts = marks.distinct().withColumn("part", F.pmod(F.xxhash64("id", "key", F.lit(1)), F.lit(p.parts)))
+        parts = parts.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*place))).where(F.col("k") <= p.sample)
+        best = parts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*place))).where(F.col("k") <= p.sample)
+        chosen = ws.table(best.select("lang", F.col("id").alias("chosen"), "key"))
+        keyed = rows.withColumn("key", F.xxhash64("text"))
+        same = (keyed["lang"] == chosen["lang"]) & (keyed["key"] == chosen["key"]) & keyed["id"].eqNullSafe(chosen["chosen"])
+        texts = keyed.join(chosen, same, "left_semi").dropDuplicates(["lang", "id", "key"]).select("lang", "text")
+        grams = texts.mapInArrow(_counts, "lang string, order int, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+        counts: dict[str, list[tuple[int, int, int]]] = {}
+        for r in grams.select("lang", "order", "gram", "n").collect():
+            counts.setdefault(r.lang, []).append((r.order, r.gram, r.n))
     return freeze(counts)
 
 

@@ -2,8 +2,12 @@ r"""License scan: ordered signature rules over the words of a text.
 
 Each rule is a regular expression over the lower-cased words, joined by spaces, with
 a priority and the keywords without which it can't match.  Rules whose keywords are
-missing aren't tried.  Detections are resolved in order of priority: one that lies
-inside an accepted detection of another rule is suppressed.
+missing aren't tried.  Rules for license texts, headers and rights notices are written
+by hand (``license_rules``); those for the ways a license is named are five forms around
+each license's names.  Detections are resolved in order of priority: one that lies
+inside another of higher rank is suppressed.  As whatever lies inside a suppressed
+detection also lies inside the one that suppressed it, one sweep over the detections by
+start settles this.
 
 Base phrases (fixed) are counted at every place, also where they overlap, and their
 labels always stay.
@@ -15,14 +19,16 @@ judged one by one.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
+from . import license_rules
 
 #: Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -95,6 +101,10 @@ FORMS = (
 )
 
 
+#: Priority and score of the hand-written blocks.
+BLOCKS = ((license_rules.TEXTS, 6, 0.9), (license_rules.HEADERS, 5, 0.85), (license_rules.NOTICES, 0, 0.5))
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -106,18 +116,35 @@ class Rule:
     score: float
 
 
-def rules() -> list[Rule]:
+def _pattern(form: str) -> re.Pattern[str]:
+    return re.compile(f"(?<= )(?:{form})(?= )")
+
+
+class Rules(list):
+    """Rules and a search for all their keywords at once."""
+
+    def __init__(self, table: Iterable[Rule]) -> None:
+        super().__init__(table)
+        self.finder = ahocorasick.Automaton()
+        for k in {k for rule in self for k in (rule.keyword, *rule.one_of)}:
+            self.finder.add_word(k, k)
+        self.finder.make_automaton()
+
+    def keywords(self, line: str) -> set[str]:
+        return {k for _, k in self.finder.iter(line)}
+
+
+def rules() -> Rules:
     """All rules, the most telling first."""
-    out = []
+    out = [Rule(label, priority, _pattern(form), keyword, (keyword,), score) for block, priority, score in BLOCKS for label, keyword, form in license_rules.lines(block)]
     for label, names in NAMES.items():
         longest = "|".join(sorted(names.split("|"), key=len, reverse=True))
         slug = re.escape(label.replace("-", " ")).replace(r"\ ", " ")
         for priority, _, form, keyword, score in FORMS:
-            pattern = re.compile(r"(?<= )" + form.format(name=longest, slug=slug) + r"(?= )")
             needs = names if "{name}" in form else label.replace("-", " ")
             one_of = tuple({max(name.split(" "), key=len) for name in needs.split("|")})
-            out.append(Rule(label, priority, pattern, keyword, one_of, score))
-    return sorted(out, key=lambda r: -r.priority)
+            out.append(Rule(label, priority, _pattern(form.format(name=longest, slug=slug)), keyword, one_of, score))
+    return Rules(sorted(out, key=lambda r: -r.priority))
 
 
 @dataclass(frozen=True)
@@ -129,33 +156,28 @@ class Hit:
     score: float
 
 
-def detect(line: str, table: list[Rule]) -> list[Hit]:
+def detect(line: str, table: Rules) -> list[Hit]:
     """Detections in `` word word ... `` after suppression; offsets are characters of ``line``."""
     found = []
-    words = {k for rule in table for k in (rule.keyword, *rule.one_of) if k in line}
-    for rule in table:
+    words = table.keywords(line)
+    for rule in table if words else ():
         if rule.keyword in words and not words.isdisjoint(rule.one_of):
             found += [Hit(rule.label, m.start(), m.end(), rule.priority, rule.score) for m in rule.pattern.finditer(line)]
-    found.sort(key=lambda h: (-h.priority, h.start - h.end, h.start, h.label))
+    found.sort(key=lambda h: (h.start, -h.end, -h.priority, h.label))
     kept: list[Hit] = []
+    reach: dict[int, int] = {}  # the farthest end so far, by priority
     for h in found:
-        if not any(k.start <= h.start and h.end <= k.end for k in kept):
+        if not any(end >= h.end for priority, end in reach.items() if priority >= h.priority):
             kept.append(h)
-    return sorted(kept, key=lambda h: h.start)
+        reach[h.priority] = max(reach.get(h.priority, 0), h.end)
+    return kept
 
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = {c: c + 32 for c in range(65, 91)}
-#: A text without any of these holds no detection.
-_GATE = ("licen", "spdx", "under")
-
-
-def scan(text: str, table: list[Rule]) -> tuple[list[int], set[str], list[Hit]]:
+def scan(text: str, table: Rules) -> tuple[list[int], set[str], list[Hit]]:
     """Word numbers of base places, their labels, and the method's detections."""
-    low = text.translate(_FOLD)
-    if not any(k in low for k in _GATE):
-        return [], set(), []
-    line = " " + " ".join(_WORD.findall(low)) + " "
+    line = " " + " ".join(_WORD.findall(text.translate(_FOLD))) + " "
     places, labels = [], set()
     for phrase, label in BASE:
         at = line.find(f" {phrase} ")

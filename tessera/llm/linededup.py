@@ -34,6 +34,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
+
 
 @dataclass(frozen=True)
 class LineChunks:
@@ -141,23 +143,28 @@ def shortest_runs(text: Column, p: Runs) -> Column:
     return _let(_lines_of(text), lambda lines: _let(F.transform(lines, count), lambda counts: F.transform(coded(lines, counts), lambda c: place(lines, c))))
 
 
-def without_repeated_runs(docs: DataFrame, p: Runs = Runs(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with repeated runs of lines gone from ``text_col``, and _n_lines, _n_removed (lines), _n_chunks (stretches of removed lines)."""
+def without_repeated_runs(docs: DataFrame, p: Runs = Runs(), id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str, str] = ("_n_lines", "_n_removed", "_n_chunks")) -> DataFrame:
+    """The rows of ``docs`` with repeated runs of lines gone from ``text_col``, and three counts: lines, removed lines, stretches of removed lines.
+
+    Columns of ``docs`` with the names of the counts give way to them.
+    """
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.explode(shortest_runs(F.col(text_col), p)).alias("c"))
     runs = keyed.select("id", "key", F.col("c.a").alias("a"), F.col("c.n").alias("n"), F.col("c.d").alias("d"))
     first = runs.groupBy("d").agg(F.min(F.struct("id", "a", "key")).alias("f"), F.count(F.lit(1)).alias("many")).where("many > 1").select("d", "f")
     later = runs.join(first, "d").where("not (id <=> f.id and a = f.a and key = f.key)")
     later = later.withColumn("b", F.expr("if(id <=> f.id and key = f.key, greatest(a, f.a + n), a)")).select("id", "key", "b", (F.col("a") + F.col("n") - 1).alias("e")).where("b <= e")
-    gone = later.groupBy(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key")).agg(F.collect_set(F.struct("b", "e")).alias("_later"))
-    met = docs.withColumn("_key", F.xxhash64(F.col(text_col))).join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")) & F.col("_key").eqNullSafe(F.col("_gone_key")), "left")
-    lost = F.array_sort(F.array_distinct(F.flatten(F.transform("_later", lambda r: F.sequence(r["b"], r["e"])))))
-    met = met.withColumn("_lost", F.when(F.col("_later").isNotNull(), lost))
-    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_lost"), lambda k: F.get(lines, k))
-    text = _let(_lines_of(F.col(text_col)), lambda lines: F.array_join(stay(lines), "\n"))
-    opens = _let(F.col("_lost"), lambda x: F.size(F.filter(F.transform(x, lambda k, i: F.when((i == 0) | (F.get(x, i - 1) != k - 1), k)), lambda k: k.isNotNull())))
-    some = F.col("_later").isNotNull()
+    docs = docs.drop(*counts)
+    key, gone_id, gone_key, spans, lines = (B.free(docs.columns, x) for x in ("key", "gone_id", "gone_key", "later", "lost"))
+    gone = later.groupBy(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).agg(F.collect_set(F.struct("b", "e")).alias(spans))
+    met = docs.withColumn(key, F.xxhash64(F.col(text_col))).join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & F.col(key).eqNullSafe(F.col(gone_key)), "left")
+    lost = F.array_sort(F.array_distinct(F.flatten(F.transform(spans, lambda r: F.sequence(r["b"], r["e"])))))
+    some = F.col(spans).isNotNull()
+    met = met.withColumn(lines, F.when(some, lost))
+    stay = lambda all_: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), lines), lambda k: F.get(all_, k))
+    text = _let(_lines_of(F.col(text_col)), lambda all_: F.array_join(stay(all_), "\n"))
+    opens = _let(F.col(lines), lambda x: F.size(F.filter(F.transform(x, lambda k, i: F.when((i == 0) | (F.get(x, i - 1) != k - 1), k)), lambda k: k.isNotNull())))
     return met.select(
-        *(F.when(some, text).otherwise(F.col(c)).alias(c) if c == text_col else docs[c] for c in docs.columns),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(_lines_of(F.col(text_col)))).cast("long").alias("_n_lines"),
-        F.when(some, F.size("_lost")).otherwise(F.lit(0)).cast("long").alias("_n_removed"), F.when(some, opens).otherwise(F.lit(0)).cast("long").alias("_n_chunks"),
+        *(F.when(some, text).otherwise(F.col(c)).alias(c) if c == text_col else met[c] for c in docs.columns),
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(_lines_of(F.col(text_col)))).cast("long").alias(counts[0]),
+        F.when(some, F.size(lines)).otherwise(F.lit(0)).cast("long").alias(counts[1]), F.when(some, opens).otherwise(F.lit(0)).cast("long").alias(counts[2]),
     )

@@ -42,10 +42,17 @@ NEAR = 48
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+#: Characters of an account number by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_LENGTH = {country: n for n, countries in _IBAN_LENGTHS.items() for country in countries.split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?i)(?<![A-Za-z])(?:api[_-]?key|secret|token|passwd|password)[\"']?\x20?[:=]\x20?[\"']?([A-Za-z0-9+/_=-]{16,})")
 _CONTEXT = {
@@ -115,11 +122,24 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", m.start(), m.end()
 
 
+def _account_end(text: str, start: int, length: int) -> int:
+    """Where an account number of this length ends, with at most one space after every fourth character; 0 if none does."""
+    at = start
+    for k in range(length):
+        if k and k % 4 == 0 and text[at : at + 1] == " ":
+            at += 1
+        if not ("A" <= (c := text[at : at + 1]) <= "Z" or "0" <= c <= "9"):
+            return 0
+        at += 1
+    following = text[at : at + 1]
+    return 0 if following.isascii() and following.isalnum() else at
+
+
 def proposed(text: str) -> Iterator[tuple[str, int, int, float]]:
     """Spans of the further kinds with the score of pattern and checksum."""
     for m in _IBAN.finditer(text):
-        if 15 <= len(account := m.group().replace(" ", "")) <= 34 and mod97(account):
-            yield "iban", m.start(), m.end(), 0.8
+        if (end := _account_end(text, m.start(), _IBAN_LENGTH.get(m.group()[:2], 0))) and mod97(text[m.start() : end].replace(" ", "")):
+            yield "iban", m.start(), end, 0.8
     for m in _SSN.finditer(text):
         area, group, serial = m.group().split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

@@ -139,6 +139,6 @@ def filtered(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame
         for batch in batches:
             for out in judged(iter([batch])):
                 n = batch.num_columns - 1
-                yield pa.RecordBatch.from_arrays(out.columns[:n], out.schema.names[:n]).filter(out.column(out.num_columns - 1))
+                yield pa.RecordBatch.from_arrays(out.columns[:n], batch.schema.names[:n]).filter(out.column(out.num_columns - 1))
 
-    return docs.select("*", docs["text"].alias("_judged")).mapInArrow(run, docs.schema)
+    return docs.select("*", docs["text"].alias(B.free(docs.columns, "judged"))).mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +71,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(_table(spark, sf_dir, "documents"), partial(public_tokenizers.path, "byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -104,23 +105,25 @@ from w left join n on n.doc_id = w.doc_id left join low on low.u = w.doc_id
 """
 
 LINE_DEDUP_SQL = r"""
-with l as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as k from documents
-), h as (
-  select *, ('0x' || substr(md5(line), 1, 7))::bigint as h, length(line) - length(replace(line, ' ', '')) >= 50 as w from l
-), c as (
-  select *, (h + 31 * lag(h, 1, 0) over d) % 3 = 0 or w or coalesce(lead(w) over d, true) as closes from h window d as (partition by doc_id order by k)
-), g as (
-  select *, coalesce(sum(closes::int) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as chunk from c
-), chunks as (
-  select doc_id, chunk, min(k) as a, count(*) as n, bool_or(w) as w, string_agg(line, chr(10) order by k) as t from g group by doc_id, chunk
-), judged as (
-  select *, (n > 1 or w) and regexp_matches(t, '[^\x20\x09-\x0D]') and row_number() over (partition by t, n > 1 or w order by doc_id, a) > 1 as gone from chunks
-), per as (
-  select doc_id, sum(n)::bigint as n_lines, coalesce(sum(n) filter (where gone), 0)::bigint as n_removed, count(*) filter (where gone) as n_chunks, coalesce(string_agg(t, chr(10) order by a) filter (where not gone), '') as kept_text
-  from judged group by doc_id
+with g as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as k from g),
+n as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from l),
+s as (select doc_id, k, t - n as b, t from (select *, (sum(n) over (partition by doc_id order by k))::bigint as t from n) where n > 0),
+runs as (
+  select x.doc_id, x.k as a, y.k as e from s x join s y on y.doc_id = x.doc_id and y.b <= x.b + 50 and y.t > x.b + 50
+  union select x.doc_id, y.k, x.k from s x join s y on y.doc_id = x.doc_id and y.b <= x.t - 51 and y.t > x.t - 51
+),
+texts as (select doc_id, a, e, array_to_string(ls[a:e], chr(10)) as t from runs join g using (doc_id)),
+placed as (select doc_id, a, e, row_number() over w as place, first_value(doc_id) over w as first_id, first_value(a) over w as first_a from texts window w as (partition by t order by doc_id, a)),
+later as (select doc_id, case when doc_id = first_id then greatest(a, first_a + e - a + 1) else a end as b, e from placed where place > 1),
+lost as (select distinct doc_id, unnest(range(b, e + 1)) as k from later where b <= e),
+j as (select l.doc_id, l.k, line, lost.k is not null as gone from l left join lost on lost.doc_id = l.doc_id and lost.k = l.k),
+o as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by k), false) as opens from j),
+per as (
+  select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, count(*) filter (where opens) as n_chunks, coalesce(string_agg(line, chr(10) order by k) filter (where not gone), '') as kept_text
+  from o group by doc_id
 )
-select d.doc_id, case when n_chunks > 0 then kept_text else d.text end as text, case when d.text is null then 0 else n_lines end as n_lines, n_removed, n_chunks
+select d.doc_id, case when n_removed > 0 then kept_text else d.text end as text, case when d.text is null then 0 else n_lines end as n_lines, n_removed, n_chunks
 from documents d join per using (doc_id)
 """
 

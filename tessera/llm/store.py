@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set and all tasks run on this machine."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -24,7 +26,9 @@ class Workspace:
 
     ``table`` cuts the lineage by writing Parquet into the shared folder, so a lost
     executor costs no more than the tasks it held.  ``result`` keeps a frame beyond
-    the run by a checkpoint, which Spark's own cleaner removes.
+    the run by a checkpoint.  Spark removes it with the frame where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set; elsewhere it stays until
+    the folder is cleared.
     """
 
     def __init__(self, spark: SparkSession) -> None:
