@@ -34,6 +34,12 @@ class Config:
     low_ocr: float = 0.85
     max_limit: int = 10
     schema_version: int = 4
+    #: Decimal places at which channel scores are compared, so that sums in another order rank alike; None: as they are.
+    rank_digits: int | None = 6
+    #: Part of what an index is built with: another value means another index.
+    tokenizer_version: str = "signs-runs-bigrams-1"
+    encoder_name: str = "hashed-64"
+    query_instruction: str = ""
 
 
 DEFAULT = Config()

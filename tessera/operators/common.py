@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def small(frame: DataFrame, most: int = 100_000) -> DataFrame:
-    """The frame with a broadcast hint where it has at most ``most`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set and all tasks run on this machine."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    except Exception:  # the JVM has gone; the folder is left to whoever clears it
+        pass
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The frame as Parquet in the shared folder, removed when the program ends.
+
+    What made it runs once, every use sees the same rows and partitions, and Spark knows
+    its size: a join broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` alone.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def ranked(frame: DataFrame, by: list, order: list, name: str = "rank") -> DataFrame:
@@ -21,12 +52,33 @@ def top(frame: DataFrame, by: list, order: list, limit: int, name: str = "rank")
     return ranked(frame, by, order, name).where(F.col(name) <= limit)
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """The frame as a checkpoint in the shared folder, so that every use sees the same partitions."""
-    spark = frame.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return frame.checkpoint()
+class Best:
+    """The best ``limit`` rows of each query among all that were offered: highest score, then lowest number."""
+
+    def __init__(self, queries: int, limit: int, least: float = -np.inf) -> None:
+        self.limit, self.floor = limit, np.full(queries, least)
+        self.pool: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.most, self.held = max(4 * queries * limit, 1 << 16), 0
+
+    def offer(self, numbers: np.ndarray, scores: np.ndarray) -> None:
+        """Rows by their numbers, with one column of scores per query."""
+        row, query = np.nonzero(scores >= self.floor)
+        self.pool.append((query, numbers[row], scores[row, query]))
+        self.held += len(row)
+        if self.held > self.most:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, number and score of the best rows so far."""
+        query, number, score = (np.concatenate(x) for x in zip(*self.pool, strict=True)) if self.pool else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((number, -score, query))
+        query, number, score = query[order], number[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.limit - 1
+        self.floor[query[last]] = score[last]
+        kept = place < self.limit
+        self.pool, self.held = [(query[kept], number[kept], score[kept])], int(kept.sum())
+        return self.pool[0]
 
 
 def dense_index(frame: DataFrame, order: list, name: str = "record_index") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,11 +23,12 @@ def upper_median(values: Column) -> Column:
 
 
 def page_metrics(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Per page: alnum, replacement_ratio, usable_ratio, duplicate_line_ratio, reading_order_anomaly.
+    """Per page: alnum, replacement_ratio, usable_ratio, duplicate_line_ratio, reading_order_anomaly.  Blank blocks don't count.
 
     ``blocks``: source_file, page, block_no, x0, y0, x1, y1, text.  ``pages``: source_file, page, width, height.
     """
     key = ["source_file", "page"]
+    blocks = blocks.where(clean_text(F.col("text")) != "")
     met = blocks.join(pages, key)
     near = Window.partitionBy(*key).orderBy("block_no")
     median = met.groupBy(*key).agg(upper_median(F.collect_list(F.col("y1") - F.col("y0"))).alias("median_h"))
@@ -38,15 +40,17 @@ def page_metrics(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     area = F.when(alnum_count(F.col("text")) >= 5, (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).otherwise(0.0)
     facts = met.groupBy(*key).agg(
         F.sum(alnum_count(F.col("text"))).alias("alnum"), F.sum(F.length(visible) - F.length(F.replace(visible, F.lit("�"), F.lit("")))).alias("bad"), F.sum(F.length(visible)).alias("seen"),
-        F.sum(area).alias("area"), F.first(F.col("width") * F.col("height")).alias("page_area"), F.bool_or(back).alias("reversed"),
+        F.sum(area).alias("area"), F.bool_or(back).alias("reversed"),
         F.count_if(left).alias("nl"), F.count_if(~left).alias("nr"), side(F.min, "y0", left).alias("l0"), side(F.max, "y1", left).alias("l1"), side(F.min, "y0", ~left).alias("r0"), side(F.max, "y1", ~left).alias("r1"),
     )
     lines = blocks.select(*key, F.explode(F.split("text", "\n")).alias("line")).select(*key, clean_text(F.col("line")).alias("line")).where("line <> ''")
     repeats = lines.groupBy(*key).agg((1 - F.count_distinct("line") / F.count(F.lit(1))).alias("duplicate_line_ratio"))
-    shared = F.least("l1", "r1") - F.greatest("l0", "r0")
+    shared = F.greatest(F.lit(0.0), F.least("l1", "r1") - F.greatest("l0", "r0"))
     columns = (F.col("nl") >= 3) & (F.col("nr") >= 3) & (shared >= 0.5 * F.least(F.col("l1") - F.col("l0"), F.col("r1") - F.col("r0")))
-    return facts.join(repeats, key, "left").select(
-        *key, "alnum", F.coalesce(F.col("bad") / F.nullif("seen", F.lit(0)), F.lit(0.0)).alias("replacement_ratio"), F.coalesce(F.col("area") / F.nullif("page_area", F.lit(0.0)), F.lit(0.0)).alias("usable_ratio"),
+    # A page without text has no blocks, and a row of its own all the same.
+    every = pages.select(*key, (F.col("width") * F.col("height")).alias("page_area"))
+    return every.join(facts, key, "left").join(repeats, key, "left").select(
+        *key, F.coalesce("alnum", F.lit(0)).alias("alnum"), F.coalesce(F.col("bad") / F.nullif("seen", F.lit(0)), F.lit(0.0)).alias("replacement_ratio"), F.coalesce(F.col("area") / F.nullif("page_area", F.lit(0.0)), F.lit(0.0)).alias("usable_ratio"),
         F.coalesce("duplicate_line_ratio", F.lit(0.0)).alias("duplicate_line_ratio"), (F.coalesce("reversed", F.lit(False)) | F.coalesce(columns, F.lit(False))).alias("reading_order_anomaly"),
     )
 
@@ -84,10 +88,13 @@ def select_tables(tables: DataFrame, lattice: DataFrame, c: Config = DEFAULT) ->
 
 
 def may_hold_borderless(words: DataFrame, captions: DataFrame) -> DataFrame:
-    """Pages with a caption and aligned columns of words.  ``words``: source_file, page, x0, x1, y0; ``captions``: source_file, page, text."""
+    """Pages with a caption and aligned columns of words.  ``words``: source_file, page, x0, y0; ``captions``: source_file, page, text.
+
+    A line counts where two neighbouring words begin 28 or more apart.
+    """
     key = ["source_file", "page"]
     lined = words.withColumn("line", F.rint(F.col("y0") / 3))
-    gap = F.lead("x0").over(Window.partitionBy(*key, "line").orderBy("x0")) - F.col("x1")
+    gap = F.lead("x0").over(Window.partitionBy(*key, "line").orderBy("x0")) - F.col("x0")
     lined = lined.withColumn("gap", gap)
     wide = lined.groupBy(*key, "line").agg(F.max("gap").alias("g")).where("g >= 28")
     lines = wide.groupBy(*key).agg(F.count(F.lit(1)).alias("lines"))
@@ -104,6 +111,13 @@ def plausible_stream(rows: Column) -> Column:
     return (width >= 2) & (F.size(rows) >= 3) & (cell_density(rows) >= 0.45) & (F.size(F.filter(rows, lambda r: filled(r) >= 2)) >= 0.6 * F.size(rows)) & (F.coalesce(upper_median(lengths), F.lit(0)) <= 40)
 
 
+def lines_of_words(words: DataFrame) -> DataFrame:
+    """(source_file, page, y, text): words of about one height, joined from left to right."""
+    line = F.rint(F.col("y0") / 3)
+    out = words.groupBy("source_file", "page", line.alias("line")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("x0", "word")))["word"], "").alias("text"))
+    return out.select("source_file", "page", (F.col("line") * 3).alias("y"), "text")
+
+
 def table_titles(tables: DataFrame, lines: DataFrame, reach: float = 100.0) -> DataFrame:
     """(source_file, page, n, title): the nearest caption within ``reach`` above each table, else its fallback.
 
@@ -121,9 +135,9 @@ def body_text(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     met = boxed.alias("k").join(tables.select(*key, "bbox"), key)
     w = F.greatest(F.lit(0.0), F.least("box.x1", "bbox.x1") - F.greatest("box.x0", "bbox.x0"))
     h = F.greatest(F.lit(0.0), F.least("box.y1", "bbox.y1") - F.greatest("box.y0", "bbox.y0"))
-    inside = met.where(w * h >= 0.5 * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).select(*key, "block_no").distinct()
-    free = boxed.join(inside, [*key, "block_no"], "left_anti").where("trim(coalesce(text, '')) <> ''")
-    return free.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("y0", "x0", "block_no", F.trim("text").alias("t"))))["t"], "\n\n").alias("text"))
+    inside = met.where(w * h > 0).where(w * h >= 0.5 * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).select(*key, "block_no").distinct()
+    free = boxed.join(inside, [*key, "block_no"], "left_anti").withColumn("t", clean_text(F.col("text"))).where("t <> ''")
+    return free.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("y0", "x0", "block_no", "t")))["t"], "\n\n").alias("text"))
 
 
 def normalize_table(rows: list[list[str | None]]) -> list[list[str]]:
@@ -135,17 +149,14 @@ def normalize_table(rows: list[list[str | None]]) -> list[list[str]]:
     grid = [[r[k] for k in keep] for r in grid]
     if not grid or not keep:
         return []
-    header, body = [f"列{k + 1}" for k in range(len(keep))], grid
-    if sum(map(bool, grid[0])) >= 2:
-        header, body = list(grid[0]), grid[1:]
-        if body and not any(body[0][:2]) and any(body[0][2:]):
-            parent = ""
-            for k, below in enumerate(body[0]):
-                parent = header[k] or parent
-                if below:
-                    header[k] = f"{parent} / {below}" if parent else below
-            body = body[1:]
-        header = [h or f"列{k + 1}" for k, h in enumerate(header)]
+    if sum(map(bool, grid[0])) < 2:
+        header, body = [f"列{k + 1}" for k in range(len(keep))], grid
+    else:
+        # A second header row names columns only from the third on; each name stands below the last one above it.
+        two = len(grid) > 1 and not any(grid[1][:2]) and any(grid[1][2:])
+        parents = accumulate(grid[0], lambda held, name: name or held)
+        header = [" / ".join(filter(None, names)) for names in zip(parents, grid[1] if two else [""] * len(keep), strict=True)]
+        body = grid[1 + two :]
     above = [""] * len(keep)
     out = [header]
     for r in body:
@@ -192,10 +203,11 @@ def ocr_pages(lines: DataFrame, c: Config = DEFAULT) -> DataFrame:
 
 
 def continue_pages(pages: DataFrame, by: list[str], order: str, text: str = "text", begins: str = "^[\\u4e00-\\u9fff]{1,4}[：:]") -> DataFrame:
-    """Adds continued_from: the end of the page before, where a page begins in the middle of a clause."""
+    """Adds continued_from: the end of the page before, where a page begins in the middle of a clause; and indexed_text, which begins with it."""
     before = F.lag(text).over(Window.partitionBy(*by).orderBy(order))
     tail = F.right(F.regexp_replace(before, "(?U)\\s", ""), F.lit(32))
-    return pages.withColumn("continued_from", F.when(F.col(text).rlike(begins) & before.isNotNull(), F.concat(F.lit("上页续文："), tail)))
+    out = pages.withColumn("continued_from", F.when(F.col(text).rlike(begins) & (before != ""), F.concat(F.lit("上页续文："), tail)))
+    return out.withColumn("indexed_text", F.concat_ws("\n\n", "continued_from", text))
 
 
 def artifact_names(pages: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.chunking import chunk_documents
 from ..functions.text import clean_text
-from .common import dense_index, ordered_digest, ranked, small
+from .common import dense_index, ordered_digest, ranked
 
 
 def first_wins(chunks: DataFrame, order: list, text_col: str = "text", scope: Column | None = None) -> DataFrame:
@@ -23,6 +24,34 @@ def first_wins(chunks: DataFrame, order: list, text_col: str = "text", scope: Co
     return keyed.join(first, "_key").where(F.col("_at").eqNullSafe(F.col("_first"))).drop("_key", "_at", "_first")
 
 
+#: Attributes of an artifact that its records carry, with their types.
+ATTRIBUTES = {
+    "imported_at": "string", "quality_warnings": "array<string>", "table_id": "string", "table_title": "string", "extraction_method": "string",
+    "extraction_score": "double", "confidence": "double", "low_confidence": "boolean", "processing_note": "string",
+}
+
+
+def with_attributes(artifacts: DataFrame) -> DataFrame:
+    """Artifacts (kind, path, attributes, content) with their source and the typed attributes as columns."""
+    said = lambda name: F.try_element_at("attributes", F.lit(name))
+    typed = {
+        "array<string>": lambda x: F.when(x == "none", F.array().cast("array<string>")).otherwise(F.split(x, ",")),
+        "boolean": lambda x: F.lower(x) == "true",
+        "double": lambda x: x.try_cast("double"),
+        "string": lambda x: x,
+    }
+    return artifacts.select(
+        "kind", "path", "content", F.coalesce(said("source_file"), F.lit("unknown")).alias("source_file"), F.coalesce(said("page").try_cast("int"), F.lit(0)).alias("page"),
+        F.coalesce(said("source_type"), F.lit("pdf")).alias("source_type"), *(typed[t](said(n)).alias(n) for n, t in ATTRIBUTES.items()),
+    )
+
+
+def chunk_artifacts(artifacts: DataFrame, **limits) -> DataFrame:
+    """Chunks of artifacts (kind, path, source_file, source_type, content, ...): tables by rows, with their text for retrieval."""
+    chunks = chunk_documents(artifacts, "path", "content", "source_type", **limits)
+    return chunks.join(artifacts.drop("content"), "path").withColumnRenamed("chunk_text", "text")
+
+
 def build_records(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     """Deduplicated, numbered records with the manifest's attributes.
 
@@ -30,8 +59,8 @@ def build_records(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     order = ["kind", F.split("path", "/"), "chunk_index"]
     kept = first_wins(chunks, [F.col("kind"), F.split("path", "/").alias("parts"), F.col("chunk_index")])
-    numbered = dense_index(kept, [F.col("kind"), order[1], F.col("chunk_index")])
-    attributes = small(manifest.select("source_file", "document_id", "version", "effective_date", F.coalesce("active", F.lit(True)).alias("active"), F.col("sha256").alias("source_sha256")))
+    numbered = dense_index(kept, order)
+    attributes = manifest.select("source_file", "document_id", "version", "effective_date", F.coalesce("active", F.lit(True)).alias("active"), F.col("sha256").alias("source_sha256"))
     return numbered.join(attributes, "source_file", "left").withColumn("chunk_id", F.concat("path", F.lit("#"), "chunk_index")).withColumn("content_sha256", F.sha2("text", 256))
 
 

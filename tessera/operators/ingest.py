@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SOURCE_TYPES = ("auto", "native", "scanned")
+MANIFEST = "document_id string, source_file string, version string, effective_date string, sha256 string, active boolean"
 
 
 def detect_type(pages: DataFrame, sample_pages: int = 3, least: int = 50) -> DataFrame:
@@ -54,6 +55,28 @@ def validate_request(paths: list[str], source_type: str = "auto", document_id: s
         date.fromisoformat(effective_date)
 
 
-def latest(versions: DataFrame, by: str = "source_file", order: str = "record_index") -> DataFrame:
-    """First row per key in order."""
-    return versions.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("_k = 1").drop("_k")
+def _optional(frame: DataFrame, *names: str) -> list[str]:
+    return [n for n in names if n in frame.columns]
+
+
+def page_artifacts(pages: DataFrame) -> DataFrame:
+    """Artifacts of extracted pages: native text, and OCR text with its confidence and the end of the page before.
+
+    A page of a native document that was sent to OCR but has no OCR text stays an empty page.
+    """
+    ocr = F.col("decision") == "ocr"
+    low = F.coalesce("confidence", F.lit(0.0)) < 0.85
+    text = F.coalesce("indexed_text", "text") if "indexed_text" in pages.columns else F.col("text")
+    return pages.select(
+        F.lit(0).alias("kind"), F.concat("source_file", F.lit("/pages/"), F.format_string("page-%03d.md", "page")).alias("path"), "source_file", F.col("page").cast("int").alias("page"), F.when(ocr, "ocr").otherwise("pdf").alias("source_type"), text.alias("content"),
+        F.when(ocr, F.col("confidence")).alias("confidence"), F.when(ocr, low).alias("low_confidence"), F.when(ocr & low, F.format_string("自动识别，建议核对原 PDF 第 %d 页", "page")).alias("processing_note"), *_optional(pages, "quality_warnings", "imported_at"),
+    )
+
+
+def table_artifacts(tables: DataFrame) -> DataFrame:
+    """Artifacts of extracted tables: source_file, page, table_no, markdown, title, method, score."""
+    return tables.select(
+        F.lit(1).alias("kind"), F.concat("source_file", F.lit("/tables/"), F.format_string("page-%03d-table-%02d.md", "page", "table_no")).alias("path"), "source_file", F.col("page").cast("int").alias("page"), F.lit("table").alias("source_type"),
+        F.concat(F.lit("# "), "title", F.lit("\n\n"), "markdown").alias("content"), F.concat("source_file", F.lit("#page-"), "page", F.lit("-table-"), "table_no").alias("table_id"), F.col("title").alias("table_title"), F.col("method").alias("extraction_method"),
+        F.col("score").alias("extraction_score"), (F.col("score") < 0.60).alias("low_confidence"),
+    )

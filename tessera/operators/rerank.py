@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,21 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.lit(0.01) + 0.98 * clamp(share)
 
 
+def batch_scorer(factory: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = 16):
+    """A scorer from a plug-in that scores lists of (query, text); it is made once per task."""
+    if batch < 1:
+        raise ValueError("a batch holds at least one pair")
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        turn = factory()
+        for queries, texts in parts:
+            pairs = list(zip(queries, texts, strict=True))
+            yield pd.Series([float(x) for at in range(0, len(pairs), batch) for x in turn(pairs[at : at + batch])], dtype="float64")
+
+    return score
+
+
 def rerank(pairs: DataFrame, scorer=overlap_score, c: Config = DEFAULT) -> DataFrame:
     """Scores rows (qid, query, text, record_index, retrieval_rank, ...) and blends."""
     return rerank_from_scores(pairs.withColumn("reranker_raw", scorer(F.col("query"), F.col("text"))), c=c)

@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.chunking import chunk_documents
 from ..operators import dense, evidence, fusion, index, ingest, lexical, rerank
-from ..operators.common import small
+from ..operators.common import settled
+from ..sources import artifacts as files
 from ..sources import publish
 from .session import ship
 
+#: Settings that an index is built with; another value of any means another index.
+SETTINGS = ("schema_version", "target_tokens", "max_tokens", "overlap_tokens", "k1", "b", "tokenizer_version", "encoder_name", "rrf_k", "bm25_weight", "vector_weight")
+
+
+def index_text(chunks: DataFrame):
+    """What the lexical channel reads of a chunk."""
+    return F.coalesce("retrieval_text", "text") if "retrieval_text" in chunks.columns else F.col("text")
+
 
 def search_frame(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, limit: int = 5, scorer=rerank.overlap_score, c: Config = DEFAULT) -> DataFrame:
     """All queries at once.  ``chunks``: record_index, text, source_type, source_file, active, ...; ``queries``: qid, query.
@@ -23,13 +31,12 @@ def search_frame(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, quer
     blending and protection then shrink to at most ``channel_limit`` rows a query.
     """
     live = chunks.where(F.coalesce(F.col("active"), F.lit(True)))
-    index_text = F.coalesce(F.col("retrieval_text"), F.col("text")) if "retrieval_text" in chunks.columns else F.col("text")
-    a = lexical.bm25(live.select("record_index", index_text.alias("text")), queries, c=c)
-    b = dense.vector_search(vectors.join(live.select("record_index"), "record_index", "left_semi"), query_vectors, c.channel_limit)
-    fused = fusion.rrf_fuse(a, b, c.channel_limit, rrf_k=c.rrf_k, bm25_weight=c.bm25_weight, vector_weight=c.vector_weight)
+    a = lexical.bm25(live.select("record_index", index_text(chunks).alias("text")), queries, c=c)
+    b = dense.vector_search(vectors.join(live.select("record_index"), "record_index", "left_semi"), query_vectors, c.channel_limit, c.rank_digits)
+    fused = settled(fusion.rrf_fuse(a, b, c.channel_limit, rrf_k=c.rrf_k, bm25_weight=c.bm25_weight, vector_weight=c.vector_weight))
     expanded = queries.select("qid", lexical.expand_query(F.col("query")).alias("query"))
-    met = live.join(small(fused), "record_index").join(small(expanded), "qid")
-    blended = rerank.rerank(met, scorer, c)
+    # Scores are settled: several windows follow, and the scorer may be a model.
+    blended = rerank.rerank(settled(live.join(fused, "record_index").join(expanded, "qid")), scorer, c)
     out = rerank.protect_top(rerank.is_table_query(blended, c), c=c)
     return out.where(F.col("final_rank") <= limit).withColumn("rank", F.col("final_rank")).withColumn("reranker_score", F.round("reranker_raw", 6))
 
@@ -44,42 +51,73 @@ def check_request(query: str, limit: int, c: Config = DEFAULT) -> None:
 class Engine:
     """An index in a folder, and a cache of results for its current version."""
 
-    def __init__(self, spark: SparkSession, root: str, config: Config = DEFAULT, scorer=rerank.overlap_score) -> None:
-        self.spark, self.root, self.config, self.scorer = spark, root, config, scorer
+    def __init__(self, spark: SparkSession, root: str, config: Config = DEFAULT, scorer=rerank.overlap_score, encoder: dense.Encoder = dense.hashed_encoder) -> None:
+        self.spark, self.root, self.config, self.scorer, self.encoder = spark, root, config, scorer, encoder
         self._results: OrderedDict[tuple, list[dict]] = OrderedDict()
         self._loaded: tuple[str, dict, dict[str, DataFrame]] | None = None
         ship(spark)
 
-    def build_index(self, artifacts: DataFrame, manifest: DataFrame, *, force: bool = False) -> dict:
-        """``artifacts``: kind, path, source_file, source_type, content.  Unchanged content reuses the published version."""
-        chunks = chunk_documents(artifacts.select("path", "content"), "path", "content")
-        rows = chunks.join(artifacts.drop("content"), "path").withColumnRenamed("chunk_text", "text")
-        records = index.build_records(rows, manifest).persist()
-        try:
-            n = records.count()
-            if not n:
-                raise ValueError("there is nothing to index")
-            digest = index.content_digest(records, ["chunk_id", "text", "document_id", "version", "active"]).first().digest
-            have = publish.current(self.spark, self.root)
-            if have == digest and not force:
-                return {"index_path": self.root, "chunks": n, "reused": True}
-            vectors = records.select("record_index", dense.hashed_encoding(F.col("text")).alias("vec"))
-            posts = lexical.postings(records)
-            metadata = {"version": digest, "schema_version": self.config.schema_version, "chunks": n, "tables": ["chunks", "postings", "vectors", "versions"], "built_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
-            publish.publish(self.spark, self.root, {"chunks": records, "postings": posts, "vectors": vectors, "versions": index.document_versions(records)}, metadata)
-        finally:
-            records.unpersist()
+    def settings(self) -> dict:
+        return {name: getattr(self.config, name) for name in SETTINGS}
+
+    def build_from_folder(self, folder: str, manifest: DataFrame | None = None, *, force: bool = False) -> dict:
+        """Reads all artifacts below a folder, and its ``documents.json`` where no manifest is given."""
+        if manifest is None:
+            manifest = files.read_manifest(self.spark, folder)
+        digest = index.artifacts_digest(files.artifact_files(self.spark, folder)).first().digest
+        return self.build_index(index.with_attributes(files.read_artifacts(self.spark, folder)), manifest, force=force, artifacts_root=folder, artifacts_digest=digest)
+
+    def build_index(self, artifacts: DataFrame, manifest: DataFrame, *, force: bool = False, artifacts_root: str | None = None, artifacts_digest: str | None = None) -> dict:
+        """``artifacts``: kind, path, source_file, source_type, content, and what else their records shall carry.
+
+        The published version is used again where it was built from the same records, in
+        the same place, with the same settings, and is whole.
+        """
+        c = self.config
+        records = settled(index.build_records(index.chunk_artifacts(artifacts, target=c.target_tokens, most=c.max_tokens, overlap=c.overlap_tokens), manifest))
+        n = records.count()
+        if not n:
+            raise ValueError("there is nothing to index")
+        said = [x for x in records.columns if x not in ("record_index", "kind", "path")]
+        digest = index.content_digest(records, said).first().digest
+        facts = {"version": digest, "settings": self.settings(), "artifacts_root": artifacts_root, "chunks": n}
+        if not force and self._reusable(facts):
+            return {"index_path": self.root, "chunks": n, "reused": True}
+        vectors = settled(dense.encode(records, "record_index", "text", self.encoder))
+        sizes = vectors.agg(F.min(F.size("vec")).alias("a"), F.max(F.size("vec")).alias("b")).first()
+        if sizes.a != sizes.b:
+            raise ValueError("the encoder's vectors differ in length")
+        posts = lexical.postings(records.select("record_index", index_text(records).alias("text")))
+        tables = {"chunks": records, "postings": posts, "vectors": vectors, "versions": index.document_versions(records), "artifacts": artifacts, "manifest": manifest}
+        metadata = facts | {
+            "schema_version": c.schema_version, "tables": list(tables), "dimension": sizes.a, "documents": records.select("source_file").distinct().count(), "artifacts_digest": artifacts_digest,
+            "built_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "built_ms": int(time.time() * 1000),
+        }
+        publish.publish(self.spark, self.root, tables, metadata)
         self.clear_caches()
         return {"index_path": self.root, "chunks": n, "reused": False}
 
+    def _reusable(self, facts: dict) -> bool:
+        try:
+            metadata, tables = publish.load(self.spark, self.root)
+            return all(metadata.get(k) == v for k, v in facts.items()) and tables["vectors"].count() == facts["chunks"] == tables["chunks"].count()
+        except Exception:  # a version that can't be read is built again
+            return False
+
     def load(self) -> tuple[dict, dict[str, DataFrame]]:
+        """Metadata and tables of the live version, whose parts were compared."""
         version = publish.current(self.spark, self.root)
         if self._loaded is None or self._loaded[0] != version:
             metadata, tables = publish.load(self.spark, self.root)
             if metadata["schema_version"] != self.config.schema_version:
                 raise ValueError("the index has another schema version")
-            if tables["chunks"].count() != metadata["chunks"] or tables["vectors"].count() != metadata["chunks"]:
+            n = metadata["chunks"]
+            vectors = tables["vectors"].agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("vec") != metadata["dimension"]).alias("bad")).first()
+            posted = tables["postings"].agg(F.max("record_index").alias("last")).first().last
+            if tables["chunks"].count() != n or vectors.n != n or (posted is not None and posted >= n):
                 raise ValueError("the parts of the index differ in size")
+            if vectors.bad:
+                raise ValueError("the index's vectors differ in length")
             self._loaded = (version, metadata, tables)
         return self._loaded[1], self._loaded[2]
 
@@ -94,7 +132,7 @@ class Engine:
         if key not in self._results:
             _, t = self.load()
             q = self.spark.createDataFrame([(0, query)], "qid long, query string")
-            qv = q.select("qid", dense.hashed_encoding(F.col("query")).alias("vec"))
+            qv = dense.encode(q, "qid", "query", self.encoder, instruction=self.config.query_instruction)
             rows = search_frame(t["chunks"], t["vectors"], q, qv, limit, self.scorer, self.config).orderBy("rank").collect()
             self._results[key] = [r.asDict(recursive=True) for r in rows]
             while len(self._results) > 128:
@@ -125,32 +163,58 @@ class Engine:
         return {"results": rows, "timings": {"load_ms": 1000 * (loaded - began), "search_ms": 1000 * (time.perf_counter() - loaded)}}
 
     def warmup(self) -> float:
+        """Holds the tables and runs one search, which wakes scorer and encoder; milliseconds."""
         began = time.perf_counter()
         _, tables = self.load()
         for name in ("chunks", "vectors"):
             tables[name].persist().count()
+        q = self.spark.createDataFrame([(0, "warm up")], "qid long, query string")
+        search_frame(tables["chunks"], tables["vectors"], q, dense.encode(q, "qid", "query", self.encoder), 1, self.scorer, self.config).count()
         return 1000 * (time.perf_counter() - began)
 
-    def freshness(self, records: DataFrame) -> bool:
-        """Whether the published version holds exactly these records."""
-        digest = index.content_digest(records, ["chunk_id", "text", "document_id", "version", "active"]).first().digest
-        return publish.current(self.spark, self.root) == digest
+    def freshness(self) -> dict:
+        """Whether the artifacts that the live version was built from are still the same; by time of change where it has no digest."""
+        metadata, _ = self.load()
+        folder = metadata.get("artifacts_root")
+        if folder is None:
+            return {"checked": False, "fresh": None}
+        found = files.artifact_files(self.spark, folder)
+        if metadata.get("artifacts_digest"):
+            return {"checked": True, "by": "digest", "fresh": index.artifacts_digest(found).first().digest == metadata["artifacts_digest"]}
+        later = found.where(F.unix_millis("modificationTime") > metadata["built_ms"]).limit(1).count()
+        return {"checked": True, "by": "time", "fresh": later == 0}
 
     def status(self) -> dict:
+        out = {"index_path": self.root, "cached_results": len(self._results), **{f: getattr(self.config, f) for f in self.config.__dataclass_fields__}}
         try:
-            metadata, _ = self.load()
-            return {"index_path": self.root, "ready": True, "cached_results": len(self._results), **{f: getattr(self.config, f) for f in self.config.__dataclass_fields__}, **metadata}
+            metadata, tables = self.load()
         except (FileNotFoundError, ValueError) as x:
-            return {"index_path": self.root, "ready": False, "error": str(x)}
-
-    def ingest(self, pages: DataFrame, manifest: DataFrame, incoming: DataFrame, *, dry_run: bool = False, allow_quality_failures: bool = False) -> dict:
-        """Changes, gate, version upsert and index of extracted pages; the old version stays until the new one is published."""
+            return out | {"ready": False, "error": str(x)}
+        try:
+            fresh = self.freshness()
+        except Exception as x:  # the artifacts may be elsewhere by now; the index still answers
+            fresh = {"checked": False, "fresh": None, "error": str(x)}
+        return out | metadata | {"ready": True, "freshness": fresh, "document_versions": [r.asDict() for r in tables["versions"].collect()]}
+
+    def ingest(self, pages: DataFrame, manifest: DataFrame | None, incoming: DataFrame, *, tables: DataFrame | None = None, dry_run: bool = False, allow_quality_failures: bool = False) -> dict:
+        """Changes, gate, version upsert and index of extracted pages and tables; the old version stays until the new one is published.
+
+        Artifacts of documents that don't come in are kept.  ``manifest`` defaults to that of the live version.
+        """
+        live = None if publish.current(self.spark, self.root) is None else self.load()[1]
+        if manifest is None:
+            manifest = live["manifest"] if live else self.spark.createDataFrame([], ingest.MANIFEST)
         changes = {r.source_file: r.change for r in ingest.change_summary(manifest, incoming).collect()}
         if dry_run:
             return {"dry_run": True, "changes": changes, "index_rebuilt": False}
         gate = ingest.quality_gate(pages).first().asDict()
         if not gate["passed"] and not allow_quality_failures:
             raise ValueError(f"the quality gate failed: {gate}")
-        versions = ingest.upsert_versions(manifest, incoming)
-        artifacts = pages.select(F.lit(0).alias("kind"), F.concat("source_file", F.lit("/pages/"), F.format_string("page-%03d.md", "page")).alias("path"), "source_file", F.lit("pdf").alias("source_type"), F.col("text").alias("content"))
-        return {"dry_run": False, "changes": changes, "quality": gate, "index_rebuilt": True, "index": self.build_index(artifacts, versions, force=True), "documents": versions}
+        versions = settled(ingest.upsert_versions(manifest, incoming))
+        artifacts = ingest.page_artifacts(pages)
+        if tables is not None:
+            artifacts = artifacts.unionByName(ingest.table_artifacts(tables), allowMissingColumns=True)
+        if live:
+            artifacts = live["artifacts"].join(incoming.select("source_file"), "source_file", "left_anti").unionByName(artifacts, allowMissingColumns=True)
+        built = self.build_index(artifacts, versions, force=True)
+        return {"dry_run": False, "changes": changes, "quality": gate, "index_rebuilt": True, "index": built, "documents": versions}

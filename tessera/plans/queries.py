@@ -62,7 +62,7 @@ def doc_length_stats(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size(tokens(F.col("text")))), 6).alias("avg_len"), F.max(F.size(tokens(F.col("text")))).alias("max_len"))
 
 
-_ASKED = "q as (select item_id as qid, array_to_string(string_split(text, ' ')[1:6], ' ') as query from benchmark)"
+_ASKED = "q as (select item_id as qid, text as query from benchmark)"
 
 
 def _bm25(where: str) -> str:
@@ -273,10 +273,14 @@ def quality_gate(spark, d):
 
 @query()
 def chunk_text(spark, d):
-    return chunk_documents(table(spark, d, "documents")).select("doc_id", "chunk_index", "n_tokens", F.sha2("chunk_text", 256).alias("chunk_sha256"))
+    return chunk_documents(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "n_tokens", F.sha2("chunk_text", 256).alias("chunk_sha256"))
 
 
-@query("select page_id, trim(coalesce(url, '')) as url, trim(regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1)) as title, sha256(trim(coalesce(html, ''))) as content_sha256 from pages")
+def _stripped(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""select page_id, {_stripped("coalesce(url, '')")} as url, {_stripped("regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1)")} as title, sha256({_stripped("coalesce(html, '')")}) as content_sha256 from pages""")
 def page_frontmatter(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     raw = F.concat(F.lit("---\nurl: "), "url", F.lit("\ntitle: "), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("\n---\n"), "html")
@@ -285,14 +289,83 @@ def page_frontmatter(spark, d):
     return read.select("page_id", F.try_element_at("a", F.lit("url")).alias("url"), F.try_element_at("a", F.lit("title")).alias("title"), F.sha2("c", 256).alias("content_sha256"))
 
 
-@query(r"""select conv_id, turn, case when regexp_matches(text, '^[A-Z][a-z]{1,4} ') and p is not null then '上页续文：' || right(regexp_replace(p, '\s', '', 'g'), 32) end as continued_from
+@query(r"""select conv_id, turn, case when regexp_matches(text, '^[A-Z][a-z]{1,4} ') and p <> '' then '上页续文：' || right(regexp_replace(p, '\s', '', 'g'), 32) end as continued_from
 from (select *, lag(text) over (partition by conv_id order by turn) as p from conversations)""")
 def page_continuation(spark, d):
     return extract.continue_pages(table(spark, d, "conversations"), ["conv_id"], "turn", begins="^[A-Z][a-z]{1,4} ").select("conv_id", "turn", "continued_from")
 
 
+# --- tables as chunks ---
+
+_ROW = "'| ' || o_orderkey || ' | ' || o_orderpriority || ' | ' || o_totalprice::decimal(18, 2) || ' |'"
+_FALLBACK = r"'[\x{4e00}-\x{9fff}]|[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*|[^\s]'"
+
+
+@query(rf"""with recursive r as (select o_custkey as c, (row_number() over (partition by o_custkey order by o_orderkey))::int as k, {_ROW} as line, '订单：' || o_orderkey || '；级别：' || o_orderpriority || '；金额：' || o_totalprice::decimal(18, 2) as said from orders),
+n as (select *, len(regexp_extract_all(line, {_FALLBACK})) as n from r),
+h as (select c, '# 客户 ' || c || chr(10) || '| 订单 | 级别 | 金额 |' || chr(10) || '| --- | --- | --- |' as head from r group by c),
+z as (select c, head, len(regexp_extract_all(head, {_FALLBACK})) as z from h),
+st as (
+  select n.c, n.k, n.k as first, z + n as held from n join z on z.c = n.c where n.k = 1
+  union all
+  select n.c, n.k, case when held >= 60 or held + n > 80 then n.k else first end, case when held >= 60 or held + n > 80 then z + n else held + n end from st join n on n.c = st.c and n.k = st.k + 1 join z on z.c = n.c
+),
+g as (select st.c, first, max(st.k) as last, string_agg(line, chr(10) order by st.k) as lines, string_agg(said, chr(10) order by st.k) as told from st join n on n.c = st.c and n.k = st.k group by st.c, first)
+select g.c as custkey, (row_number() over (partition by g.c order by first))::int as chunk_index, first as row_start, last as row_end, sha256(head || chr(10) || lines) as chunk_sha256,
+  sha256('表名：客户 ' || g.c || chr(10) || '字段：订单、级别、金额' || chr(10) || told) as retrieval_sha256 from g join z on z.c = g.c""")
+def table_chunks(spark, d):
+    """A table of orders per customer, cut between rows."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.concat(F.lit("| "), "o_orderkey", F.lit(" | "), "o_orderpriority", F.lit(" | "), F.col("o_totalprice").cast("decimal(18,2)"), F.lit(" |")).alias("line"))
+    head = F.concat(F.lit("# 客户 "), "custkey", F.lit("\n| 订单 | 级别 | 金额 |\n| --- | --- | --- |\n"))
+    texts = rows.groupBy("custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    chunks = chunk_documents(texts.select("custkey", F.concat(head, "lines").alias("text"), F.lit("table").alias("kind")), "custkey", "text", "kind", target=60, most=80)
+    return chunks.select("custkey", "chunk_index", "row_start", "row_end", F.sha2("chunk_text", 256).alias("chunk_sha256"), F.sha2("retrieval_text", 256).alias("retrieval_sha256"))
+
+
 # --- extraction ---
 
+_BLOCKS = """b as (select l_orderkey as page, l_linenumber as block_no, min(l_partkey) as p, min(l_suppkey) as s from lineitem group by all),
+k as (select page, block_no, ((p * 37) % 540)::double as x0, ((s * 53 + block_no * 40) % 700)::double as y0, ((p * 37) % 540 + 20 + p % 50)::double as x1, ((s * 53 + block_no * 40) % 700 + 10 + p % 15)::double as y1,
+  case p % 6 when 0 then ' ' when 1 then 'ab' || chr(10) || ' ab ' when 2 then chr(65533) || chr(65533) || ' x' when 3 then 'words of block ' || p when 4 then '--- !' else 'seven words' end as text from b)"""
+
+
+def _blocks(spark, d) -> DataFrame:
+    b = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("block_no")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    x, y = "(p * 37) % 540", "(s * 53 + block_no * 40) % 700"
+    text = "case p % 6 when 0 then ' ' when 1 then 'ab\\n ab ' when 2 then '\\ufffd\\ufffd x' when 3 then concat('words of block ', p) when 4 then '--- !' else 'seven words' end"
+    return b.selectExpr("'f' as source_file", "page", "block_no", f"cast({x} as double) as x0", f"cast({y} as double) as y0", f"cast({x} + 20 + p % 50 as double) as x1", f"cast({y} + 10 + p % 15 as double) as y1", f"{text} as text")
+
+
+@query(rf"""with {_BLOCKS}, o as (select o_orderkey as page from orders union select -1), nb as (select *, length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) as a, regexp_replace(text, '\s', '', 'g') as v, (x0 + x1) / 2 < 300.5 as l from k where trim(text) <> ''),
+md as (select page, list_sort(list(y1 - y0))[count(*) // 2 + 1] as mh from nb group by page),
+pr as (select nb.*, mh, lag(x0) over w as px, lag(y0) over w as py from nb join md using (page) window w as (partition by page order by block_no)),
+f as (select page, sum(a)::bigint as alnum, sum(length(v) - length(replace(v, chr(65533), ''))) as bad, sum(length(v)) as seen, sum(case when a >= 5 then (x1 - x0) * (y1 - y0) else 0 end) as area, coalesce(bool_or(abs(x0 - px) <= 0.15 * 601 and y0 + mh < py), false) as back,
+  count(*) filter (where l) as nl, count(*) filter (where not l) as nr, min(y0) filter (where l) as l0, max(y1) filter (where l) as l1, min(y0) filter (where not l) as r0, max(y1) filter (where not l) as r1 from pr group by page),
+li as (select page, trim(unnest(string_split(text, chr(10)))) as line from nb), du as (select page, 1 - count(distinct line)::double / count(*) as d from li where line <> '' group by page),
+m as (select o.page, coalesce(alnum, 0) as alnum, round(coalesce(bad::double / nullif(seen, 0), 0), 6) as replacement_ratio, round(coalesce(area / 478997.0::double, 0), 6) as usable_ratio, round(coalesce(d, 0), 6) as duplicate_line_ratio,
+  coalesce(back, false) or coalesce(nl >= 3 and nr >= 3 and greatest(0, least(l1, r1) - greatest(l0, r0)) >= 0.5 * least(l1 - l0, r1 - r0), false) as reading_order_anomaly from o left join f using (page) left join du using (page))
+select *, case when alnum = 0 or replacement_ratio > 0.15 or usable_ratio < 0.01 then 'ocr' else 'native' end as decision,
+  array_to_string(list_filter([case when alnum > 0 and alnum < 50 then 'short_text' end, case when duplicate_line_ratio > 0.3 then 'duplicate_line_ratio' end, case when reading_order_anomaly then 'reading_order_anomaly' end], lambda x: x is not null), ',') as warning from m""")
+def page_metrics(spark, d):
+    """Blocks with blank ones among them, and a page without any."""
+    pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("page")).union(spark.createDataFrame([(-1,)], "page long")).selectExpr("'f' as source_file", "page", "601.0D as width", "797.0D as height")
+    m = extract.page_metrics(_blocks(spark, d), pages)
+    for c in ("replacement_ratio", "usable_ratio", "duplicate_line_ratio"):
+        m = m.withColumn(c, F.round(c, 6))
+    return extract.route_pages(m).drop("source_file").withColumn("quality_warnings", F.array_join("quality_warnings", ",")).withColumnRenamed("quality_warnings", "warning")
+
+
+@query(f"""with {_BLOCKS}, w as (select page // 4 as page, x0, round_even(y0 / 60, 0) as line from k), g as (select *, lead(x0) over (partition by page, line order by x0) - x0 as gap from w),
+t as (select page, line from g group by page, line having max(gap) >= 28), n as (select page from t group by page having count(*) >= 3),
+x as (select page, round_even(x0 / 20, 0) as b from w join t using (page, line) group by page, b having count(distinct line) >= 3), y as (select page from x group by page having count(*) >= 2)
+select page from n join y using (page) where page % 3 <> 0""")
+def borderless_pages(spark, d):
+    """Words of four pages on one, lines twenty times as high as they are."""
+    words = _blocks(spark, d).selectExpr("source_file", "page div 4 as page", "x0", "y0 / 20 as y0")
+    captions = words.select("source_file", "page").distinct().select("source_file", "page", F.when(F.col("page") % 3 == 0, "no caption").otherwise("表 7").alias("text"))
+    return extract.may_hold_borderless(words, captions).select("page")
+
+
 
 def _boxes(spark, d, x: int, y: int, s: int) -> DataFrame:
     part = table(spark, d, "part")

@@ -15,37 +15,73 @@ CASE = "id string, query string, source_file string, pages array<int>, category
 PREDICTION = "id string, query string, answer string, refused boolean, evidence_sufficient boolean, confidence double, reason string, retrieval_results array<struct<chunk_id string, source_file string, page int, text string>>, cited_chunk_ids array<string>, citations array<struct<chunk_id string, source_file string, page int>>, review struct<correct boolean, complete boolean, citation_supported boolean, uses_model_memory_or_guess boolean>"
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+
+
 def front_matter(raw: Column) -> tuple[Column, Column]:
     """Attributes and content of a text that may begin with a block of ``key: value`` lines between ``---``."""
     parts = F.split(raw, "---\n", 3)
     has = F.startswith(raw, F.lit("---\n")) & (F.size(parts) == 3)
     lines = F.filter(F.split(F.try_element_at(parts, F.lit(2)), "\n"), lambda x: F.contains(x, F.lit(":")))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
+    pairs = F.transform(lines, lambda x: F.struct(stripped(F.substring_index(x, ":", 1)).alias("k"), stripped(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
     # A key that comes again overrides the one before.
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return F.when(has, F.map_from_entries(last)).otherwise(empty), F.when(has, F.trim(F.try_element_at(parts, F.lit(3)))).otherwise(raw)
+    return F.when(has, F.map_from_entries(last)).otherwise(empty), stripped(F.when(has, F.try_element_at(parts, F.lit(3))).otherwise(raw))
 
 
 def with_front_matter(attributes: Column, content: Column) -> Column:
     """The text of an artifact: attributes in their order, then content."""
     lines = F.transform(F.map_entries(attributes), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n\n"), F.trim(content), F.lit("\n"))
+    return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n\n"), content, F.lit("\n"))
+
+
+def _below(spark: SparkSession, root: str, path: Column) -> Column:
+    """The path of a file below the folder that was read, as it was written."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(root)
+    home = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toUri()
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    # The path begins with the folder's; only its scheme may be written otherwise.
+    return F.substring(decoded, F.instr(decoded, F.lit(home.getPath())) + len(home.getPath().rstrip("/")) + 1, F.length(decoded))
 
 
 def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """(kind, path, attributes, content): pages (0), then tables (1)."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
-    kind = F.when(F.col("path").rlike("/pages/[^/]*$"), 0).when(F.col("path").rlike("/tables/[^/]*$"), 1)
+    """(kind, path, attributes, content): pages (0), then tables (1); paths are relative to ``root``."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
+    files = files.select(_below(spark, root, F.col("file")).alias("path"), "raw")
+    kind = F.when(F.concat(F.lit("/"), "path").rlike("/pages/[^/]*$"), 0).when(F.concat(F.lit("/"), "path").rlike("/tables/[^/]*$"), 1)
     attributes, content = front_matter(F.col("raw"))
     return files.select(kind.alias("kind"), "path", attributes.alias("attributes"), content.alias("content")).where("kind is not null")
 
 
+def artifact_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content, modificationTime) of what an index is built from: the manifest, metadata, pages and tables."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = files.select(_below(spark, root, F.col("path")).alias("path"), "content", "modificationTime")
+    return files.where(F.concat(F.lit("/"), "path").rlike("^/documents\\.json$|/metadata\\.json$|/(pages|tables)/[^/]*\\.md$"))
+
+
 def write_artifacts(frame: DataFrame, path: str) -> None:
     """Texts with front matter, one row per artifact, as Parquet."""
     frame.select("path", with_front_matter(F.col("attributes"), F.col("content")).alias("raw")).write.mode("errorifexists").parquet(path)
 
 
+MANIFEST = "document_id string, source_file string, source_type string, sha256 string, version string, effective_date string, active boolean"
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of ``documents.json`` in a folder of artifacts; none where there is no such file."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/documents.json")
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], MANIFEST)
+    whole = read_json(spark, [f"{root}/documents.json"], f"schema_version int, documents array<struct<{MANIFEST.replace(' ', ': ').replace(',: ', ', ')}>>")
+    if whole.where("schema_version <> 1").count():
+        raise ValueError("documents.json has another schema version")
+    return whole.select(F.inline("documents"))
+
+
 def read_json(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Whole JSON documents; several files are one frame."""
     return spark.read.schema(schema).option("multiLine", "true").json(paths)
@@ -109,6 +145,17 @@ def unseen_pages(pages: DataFrame, cached: DataFrame, start: int = 1, end: int |
     return wanted.join(cached.select("source_file", "page"), ["source_file", "page"], "left_anti")
 
 
+def recognized_lines(pages: DataFrame, cached: DataFrame, recognize: Callable[[DataFrame], DataFrame], start: int = 1, end: int | None = None, dpi: int = 300) -> DataFrame:
+    """OCR lines of all pages: stored ones as they are, whatever the range, and new ones of the pages in it that have none.
+
+    ``recognize`` turns pages into rows like those of ``cached`` (source_file, page, x, y, text, score).
+    """
+    if dpi <= 0:
+        raise ValueError("the resolution must be positive")
+    have = cached.join(pages.select("source_file", "page").distinct(), ["source_file", "page"], "left_semi")
+    return have.unionByName(recognize(unseen_pages(pages, cached, start, end)).select(*cached.columns))
+
+
 def inside(root: str, path: str) -> str:
     """The absolute path, which must lie below root; root can't be the root of the file system."""
     top, full = os.path.realpath(root), os.path.realpath(os.path.join(root, path))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import chunking
-from tessera.functions.text import char_bigrams, clean_text, normalized, token_count, tokens
+from tessera.config import Config
+from tessera.functions.text import char_bigrams, clean_text, normalized, token_count, tokens, tokens_of
 from tessera.operators import answers, dense, evaluate, evidence, extract, fusion, index, ingest, integrity, lexical, rerank
 from tessera.operators.common import dense_index
 from tessera.plans import cli
@@ -43,6 +44,37 @@ def test_chunks():
             assert chunking.count_tokens(p) <= 30
 
 
+def test_pieces_of_a_unit():
+    rnd = random.Random(4)
+    parts = ["a", "b-", "c._", "第", "。", "!", " ", "\n", "x/y.z", "-", "9 ", "word ", ".", "；"]
+    for _ in range(1500):
+        t = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 120)))
+        m = chunking.Measured(t)
+        for _ in range(6):
+            a = rnd.randint(0, len(t))
+            b = rnd.randint(a, len(t))
+            assert m.count(a, b) == chunking.count_tokens(t[a:b]), (t, a, b)
+        most = rnd.randint(3, 25)
+        pieces = chunking.split_unit(t, most)
+        assert "".join(pieces) == t and all(pieces)
+        assert all(chunking.count_tokens(x) <= most for x in pieces)
+    assert chunking.split_unit("One two. Three four. Five six seven eight nine ten.", 6) == ["One two. Three four.", " Five six seven eight nine ten", "."]
+    assert chunking.split_unit("see a/b.c for x_y. ok", 3) == ["see a/b.", "c for x", "_y.", " ok"]
+    assert chunking.split_chunks("a b c d e f g h i j. k l\n\nm n", 5, 6, 2) == ["a b c d e f ", "g h i j.", "j.\n\n k l\n\nm n"]
+
+
+def test_long_text_is_chunked_in_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        chunking.split_chunks(" ".join(f"w{k}" for k in range(n)))
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(80_000) < 20 * max(took(10_000), 0.01)
+
+
 def test_table_chunks():
     head = "# 成绩\n| 成绩区间 | 绩点范围 |\n| --- | --- |\n"
     parts = chunking.split_table(head + "\n".join(f"| {k} | {k} |" for k in range(179)), 80, 100)
@@ -52,6 +84,10 @@ def test_table_chunks():
     assert chunking.split_table("no table") == [] and chunking.split_table(head)[0]["row_end"] == 0
     told = chunking.table_retrieval_text(head + "| 90～100 | 4.0～5.0 |")
     assert "表名：成绩" in told and "字段：成绩区间、绩点范围" in told and "成绩区间：90～100；绩点范围：4.0～5.0" in told and "---" not in told
+    noted = chunking.split_table(head + "| a | b |\nfootnote text\n| c | d |")
+    assert [(p["text"].count("\n"), p["row_start"], p["row_end"]) for p in noted] == [(4, 1, 2)] and "footnote" not in noted[0]["text"]
+    assert "footnote" not in chunking.table_retrieval_text(head + "| a | b |\nfootnote text")
+    assert chunking.table_retrieval_text("## C# #\n|| x |\n|---|---|\n| 1 \\| 2 | |") == "表名：C# #\n字段：x\nx：1 | 2"
     wide = head + "\n".join("| " + "x y z " * 10 + "| b |" for _ in range(15))
     assert chunking.table_retrieval_text(wide, 100) == wide
 
@@ -170,13 +206,17 @@ def test_extraction(spark):
     assert [r.o for r in rows.select(extract.bbox_overlap("a", "b").alias("o")).collect()] == [1.0, 0.0]
     grid = extract.normalize_table([["", "", "10 分"], ["", "学习态度", "不遵守课堂纪律"], ["综合评议", "民主评议", ""]])
     assert grid[0] == ["列1", "列2", "列3"] and extract.markdown_table(grid).endswith("| 综合评议 | 民主评议 |  |")
-    assert extract.normalize_table([["a", "b", ""], ["", "", "c"], ["1", "2", "3"]])[0][2].endswith("c")
+    assert extract.normalize_table([["a", "b", ""], ["", "", "c"], ["1", "2", "3"]])[0] == ["a", "b", "b / c"]
+    assert extract.normalize_table([["a", "", "c"], ["1", "2", "3"], ["", "4", "5"], ["6", "", ""]]) == [["a", "a", "c"], ["1", "2", "3"], ["1", "4", "5"], ["6", "", ""]]
+    assert extract.normalize_table([["", "b", "c"], ["", "x", ""]]) == [["b", "c"], ["x", ""]] and extract.normalize_table([["", ""]]) == []
     tables = spark.createDataFrame([(1, [["a", "b"], ["c", "d"], ["e", "f"]]), (2, [["long prose " * 9], ["x" * 90], ["y" * 90]])], "n int, rows array<array<string>>")
     assert [r.p for r in tables.select("n", extract.plausible_stream(F.col("rows")).alias("p")).orderBy("n").collect()] == [True, False]
     assert extract.render_tables(tables).count() == 2
     pages = spark.createDataFrame([("f", 1, "优秀学生奖学金评"), ("f", 2, "定资格：要求"), ("f", 3, "三、奖励比例和标准")], "source_file string, page int, text string")
-    got = [r.continued_from for r in extract.continue_pages(pages, ["source_file"], "page").orderBy("page").collect()]
-    assert got[0] is None and "奖学金评" in got[1] and got[2] is None
+    pages = pages.union(spark.createDataFrame([("f", 4, ""), ("f", 5, "条件：无")], pages.schema))
+    got = extract.continue_pages(pages, ["source_file"], "page").orderBy("page").collect()
+    assert [r.continued_from for r in got] == [None, "上页续文：优秀学生奖学金评", None, None, None]
+    assert got[1].indexed_text == "上页续文：优秀学生奖学金评\n\n定资格：要求" and got[4].indexed_text == "条件：无"
     ocr = spark.createDataFrame([("f", 1, 5.0, 9.0, "b", 0.9), ("f", 1, 1.0, 2.0, "a", 0.7)], "source_file string, page int, x double, y double, text string, score double")
     r = extract.ocr_pages(ocr).first()
     assert r.text == "a\n\nb" and r.low_confidence
@@ -192,6 +232,32 @@ def test_page_metrics(spark):
     assert r.quality_warnings == ["short_text", "duplicate_line_ratio", "reading_order_anomaly"]
     boxes = spark.createDataFrame([("f", 1, {"x0": 0.0, "y0": 90.0, "x1": 300.0, "y1": 130.0})], "source_file string, page int, bbox struct<x0 double,y0 double,x1 double,y1 double>")
     assert extract.body_text(blocks, boxes).first().text == "some words here\n\nsome words here"
+    # A page without text and one with blank blocks only go to OCR; blank blocks don't come between neighbours.
+    size = "source_file string, page int, width double, height double"
+    kind = "source_file string, page int, block_no int, x0 double, y0 double, x1 double, y1 double, text string"
+    more = blocks.union(spark.createDataFrame([("f", 1, 9, 0.0, 0.0, 9.0, 900.0, " \n"), ("f", 2, 0, 0.0, 0.0, 50.0, 9.0, "  "), ("f", 4, 0, 0.0, 0.0, 400.0, 400.0, "a�� b�\u3000c")], kind))
+    got = {r.page: r for r in extract.route_pages(extract.page_metrics(more, spark.createDataFrame([("f", k, 600.0, 800.0) for k in (1, 2, 3, 4)], size))).collect()}
+    assert {k: r.decision for k, r in got.items()} == {1: "native", 2: "ocr", 3: "ocr", 4: "ocr"}
+    assert (got[3].alnum, got[3].usable_ratio, got[3].quality_warnings) == (0, 0.0, []) and got[4].replacement_ratio == 0.5
+    assert got[1].reading_order_anomaly and round(got[1].duplicate_line_ratio, 3) == 0.667
+    left = [("g", 1, k, 10.0, 50.0 * k, 90.0, 50.0 * k + 20, "left words") for k in range(3)] + [("g", 1, 3 + k, 400.0, 50.0 * k, 480.0, 50.0 * k + 20, "right words") for k in range(3)]
+    assert extract.page_metrics(spark.createDataFrame(left, kind), spark.createDataFrame([("g", 1, 600.0, 800.0)], size)).first().reading_order_anomaly
+    point = spark.createDataFrame([("f", 1, 0, 5.0, 5.0, 5.0, 5.0, "a  point\nhere")], kind)
+    assert extract.body_text(point, spark.createDataFrame([("f", 1, {"x0": 0.0, "y0": 0.0, "x1": 9.0, "y1": 9.0})], boxes.schema)).first().text == "a point here"
+
+
+def test_borderless_pages_and_captions(spark):
+    kind = "source_file string, page int, x0 double, y0 double, word string"
+    rows = [("f", 1, x, 30.0 * y, f"w{x}") for y in range(4) for x in (10.0, 60.0, 120.0)]
+    rows += [("f", 2, 10.0 + 20 * k, 30.0 * y, "prose") for y in range(4) for k in range(5)]
+    rows += [("f", 3, x, 30.0 * y, "w") for y in range(2) for x in (10.0, 60.0)]
+    words = spark.createDataFrame(rows + [("f", 1, 20.0, 301.0, "3"), ("f", 1, 10.0, 299.0, "表"), ("f", 1, 40.0, 300.0, "成绩")], kind)
+    lines = extract.lines_of_words(words)
+    assert lines.where("y = 300").first().text == "表3成绩"
+    captions = lines.union(spark.createDataFrame([("f", k, 0.0, "表 1") for k in (2, 3)], lines.schema))
+    assert [r.page for r in extract.may_hold_borderless(words, captions).collect()] == [1]
+    boxes = spark.createDataFrame([("f", 1, 1, {"x0": 0.0, "y0": 390.0, "x1": 9.0, "y1": 400.0}, "none"), ("f", 1, 2, {"x0": 0.0, "y0": 500.0, "x1": 9.0, "y1": 600.0}, "none")], "source_file string, page int, n int, bbox struct<x0 double,y0 double,x1 double,y1 double>, fallback string")
+    assert {r.n: r.title for r in extract.table_titles(boxes, lines).collect()} == {1: "表3成绩", 2: "none"}
 
 
 def test_versions_and_gate(spark):
@@ -259,16 +325,16 @@ def test_answers(spark):
 
 
 def test_front_matter_and_files(spark, tmp_path):
-    raw = spark.createDataFrame([("---\nurl: http://x:1\n a : b \nnoise\n---\n\nbody --- x\n",), ("plain",)], "raw string")
+    raw = spark.createDataFrame([("---\nurl: http://x:1\n a : b \nnoise\n---\n\nbody --- x\n",), ("\n\tplain ",)], "raw string")
     a, c = artifacts.front_matter(F.col("raw"))
     got = raw.select(a.alias("a"), c.alias("c")).collect()
-    assert got[0].a == {"url": "http://x:1", "a": "b"} and got[1].a == {} and got[1].c == "plain"
+    assert got[0].a == {"url": "http://x:1", "a": "b"} and got[0].c == "body --- x" and got[1].a == {} and got[1].c == "plain"
     again = raw.select(artifacts.with_front_matter(a, c).alias("raw")).select(a.alias("a")).collect()
     assert again[0].a == got[0].a
     (tmp_path / "d" / "pages").mkdir(parents=True)
     (tmp_path / "d" / "pages" / "p.md").write_text("---\nk: v\n---\n\nhello")
     (tmp_path / "d" / "pages" / "t.py").write_bytes(b"value = 1\r\n")
-    assert [(r.kind, r.attributes) for r in artifacts.read_artifacts(spark, str(tmp_path)).collect()] == [(0, {"k": "v"})]
+    assert [(r.kind, r.path, r.attributes) for r in artifacts.read_artifacts(spark, str(tmp_path)).collect()] == [(0, "d/pages/p.md", {"k": "v"})]
     with pytest.raises(ValueError):
         artifacts.inside(str(tmp_path), "../x")
     assert integrity.portable_sha256(b"value = 1\r\n") == integrity.portable_sha256(b"value = 1\n")
@@ -283,25 +349,53 @@ def test_front_matter_and_files(spark, tmp_path):
     assert len(integrity.tree_digest(integrity.file_table(spark, str(tmp_path))).first().digest) == 64
 
 
-def test_publish_keeps_old_version_on_failure(spark, tmp_path):
+def test_publish_keeps_old_version_on_failure(spark, tmp_path, monkeypatch):
     root = f"file://{tmp_path}/index"
     t = spark.range(3)
+    bad = t.withColumn("x", F.expr("if(id >= 0, raise_error('no'), 0)"))
+    live = lambda: (publish.load(spark, root)[0]["version"], publish.load(spark, root)[1]["t"].count())
+    folders = lambda: sorted(x.name for x in (tmp_path / "index").iterdir() if x.name.startswith("v="))
     publish.publish(spark, root, {"t": t}, {"version": "a", "tables": ["t"]})
-    with pytest.raises(Exception):
-        publish.publish(spark, root, {"t": t.withColumn("x", F.expr("raise_error('no')"))}, {"version": "b", "tables": ["t"]})
-    assert publish.current(spark, root) == "a" and publish.load(spark, root)[1]["t"].count() == 3
-    assert not (tmp_path / "index" / "v=b").exists()
+    had = folders()
+    # Another version fails; the same version fails, at its first table and at its second; the pointer can't be written.
+    for tables, version in (({"t": bad}, "b"), ({"t": bad}, "a"), ({"t": spark.range(9), "u": bad}, "a")):
+        with pytest.raises(Exception):
+            publish.publish(spark, root, tables, {"version": version, "tables": ["t"]})
+        assert live() == ("a", 3) and folders() == had
+    write = publish.write_text
+
+    def failing(spark, path, text, **more):
+        if publish.POINTER in path:
+            raise OSError("no")
+        write(spark, path, text, **more)
+
+    monkeypatch.setattr(publish, "write_text", failing)
+    with pytest.raises(OSError):
+        publish.publish(spark, root, {"t": spark.range(9)}, {"version": "a", "tables": ["t"]})
+    monkeypatch.undo()
+    assert live() == ("a", 3) and folders() == had
+    # A pointer to a version that isn't whole doesn't count; one that exists isn't written over.
+    publish.write_text(spark, f"{root}/{publish.POINTER}{7:09d}", "v=gone")
+    assert live() == ("a", 3)
+    with pytest.raises(OSError):
+        publish.write_text(spark, f"{root}/{publish.POINTER}{7:09d}", "x", new=True)
+    publish.publish(spark, root, {"t": spark.range(5)}, {"version": "a", "tables": ["t"]})
+    assert live() == ("a", 5) and len(folders()) == 2
+    publish.prune(spark, root, 1)
+    assert live() == ("a", 5) and len(folders()) == 1
+
+
+KIND = "document_id string, source_file string, version string, effective_date string, sha256 string, active boolean"
 
 
 def test_engine_end_to_end(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "rules.txt").write_text("Scholarship rules require a grade of ninety.\fThe library opens at eight.")
     pages = artifacts.extract_pages(spark, [f"{tmp_path}/in/rules.txt"]).withColumn("decision", F.lit("native")).withColumn("quality_warnings", F.array().cast("array<string>"))
-    kind = "document_id string, source_file string, version string, effective_date string, sha256 string, active boolean"
     engine = Engine(spark, f"file://{tmp_path}/index")
     assert engine.status()["ready"] is False
-    incoming = spark.createDataFrame([("rules", "rules.txt", "1", None, "s")], kind.replace(", active boolean", ""))
-    empty = spark.createDataFrame([], kind)
+    incoming = spark.createDataFrame([("rules", "rules.txt", "1", None, "s")], KIND.replace(", active boolean", ""))
+    empty = spark.createDataFrame([], KIND)
     assert engine.ingest(pages, empty, incoming, dry_run=True)["changes"] == {"rules.txt": "added"}
     assert engine.ingest(pages, empty, incoming)["index"]["chunks"] == 2
     got = engine.retrieve("library opens", 2)
@@ -311,13 +405,120 @@ def test_engine_end_to_end(spark, tmp_path):
         with pytest.raises(ValueError):
             engine.search(*bad)
     out = io.StringIO()
-    cli.serve(engine, [json.dumps({"id": 1, "method": "tools/list"}), json.dumps({"id": 2, "method": "tools/call", "params": {"name": "search_knowledge_base", "arguments": {"query": "grade", "limit": 1}}}), json.dumps({"id": 3, "method": "tools/call", "params": {"name": "x"}})], out)
-    said = [json.loads(x) for x in out.getvalue().splitlines()]
-    assert len(said[0]["result"]["tools"]) == 2 and len(said[1]["result"]["results"]) == 1 and "error" in said[2]
+    said = lambda k, method, **params: json.dumps({"jsonrpc": "2.0", "id": k, "method": method, "params": params})
+    lines = [said(1, "initialize"), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), said(2, "tools/list"), said(3, "tools/call", name="search_knowledge_base", arguments={"query": "grade", "limit": 1}), said(4, "tools/call", name="x"), said(5, "nope"), "{"]
+    cli.serve(engine, lines, out)
+    replies = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines())}
+    assert replies[1]["result"]["serverInfo"]["name"] == "tessera" and len(replies[2]["result"]["tools"]) == 2
+    assert len(replies[3]["result"]["structuredContent"]["results"]) == 1 and replies[4]["error"]["code"] == -32602 and replies[5]["error"]["code"] == -32601 and None in replies
     broken = pages.withColumn("extraction_failures", F.array(F.lit("boom")))
     with pytest.raises(ValueError):
         engine.ingest(broken, empty, incoming)
     assert engine.status()["chunks"] == 2
+    # Another document comes in: the first one stays; its next version replaces it.
+    more = pages.withColumn("source_file", F.lit("two.txt")).withColumn("text", F.concat(F.lit("second "), "text"))
+    assert engine.ingest(more, None, incoming.withColumn("source_file", F.lit("two.txt")).withColumn("version", F.lit("2")))["index"]["chunks"] == 4
+    assert {r["source_file"]: r["active"] for r in engine.status()["document_versions"]} == {"rules.txt": False, "two.txt": True}
+    assert {r["source_file"] for r in engine.search("library", 5)} == {"two.txt"}
+
+
+def test_index_of_a_folder_with_tables(spark, tmp_path, capsys):
+    home = tmp_path / "art"
+    for kind, name, raw in (
+        ("pages", "page-001.md", "---\nsource_file: guide.pdf\npage: 1\nsource_type: pdf\nquality_warnings: short_text,duplicate_line_ratio\n---\n\n\nThe library opens at eight.\n"),
+        ("pages", "page-002.md", "---\nsource_file: guide.pdf\npage: 2\nsource_type: ocr\nconfidence: 0.700\nlow_confidence: true\n---\n\nScanned rules of the dormitory."),
+        ("tables", "page-001-table-01.md", "---\nsource_file: guide.pdf\npage: 1\nsource_type: table\ntable_id: guide.pdf#page-1-table-1\nextraction_score: 0.9\n---\n\n# Grades\n| Range | Points |\n| --- | --- |\n| 90 | 4.0 |\n| 80 | 3.0 |\nfootnote\n"),
+        ("tables", "page-002-table-01.md", "---\nsource_file: guide.pdf\npage: 2\nsource_type: table\n---\n\nno bars here"),
+        ("pages", "page-003.md", "---\nsource_file: guide.pdf\npage: 3\n---\n\nThe  library opens\nat eight."),
+    ):
+        (home / "guide" / kind).mkdir(parents=True, exist_ok=True)
+        (home / "guide" / kind / name).write_text(raw)
+    (home / "documents.json").write_text(json.dumps({"schema_version": 1, "documents": [{"document_id": "guide", "source_file": "guide.pdf", "version": "2024", "sha256": "s", "active": True}]}))
+    index_root = f"file://{tmp_path}/index"
+    assert cli.main(["build", "--index", index_root, "--artifacts", str(home)], spark) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["chunks"] == 4
+    engine = Engine(spark, index_root)
+    rows = {r.chunk_id: r for r in engine.load()[1]["chunks"].collect()}
+    assert list(sorted(rows)) == ["guide/pages/page-001.md#1", "guide/pages/page-002.md#1", "guide/tables/page-001-table-01.md#1", "guide/tables/page-002-table-01.md#1"]
+    table = rows["guide/tables/page-001-table-01.md#1"]
+    assert (table.row_start, table.row_end, table.oversize_row, table.extraction_score, table.document_id, table.page) == (1, 2, False, 0.9, "guide", 1)
+    assert table.retrieval_text == "表名：Grades\n字段：Range、Points\nRange：90；Points：4.0\nRange：80；Points：3.0" and "footnote" not in table.text
+    assert rows["guide/pages/page-001.md#1"].quality_warnings == ["short_text", "duplicate_line_ratio"] and rows["guide/pages/page-002.md#1"].low_confidence
+    assert rows["guide/tables/page-002-table-01.md#1"].retrieval_text == "no bars here" and rows["guide/tables/page-002-table-01.md#1"].row_start is None
+    assert engine.search("表名 Grades points", 1)[0]["chunk_id"] == table.chunk_id
+    # Unchanged content is used again, unless the settings differ or it is forced.
+    assert engine.build_from_folder(str(home))["reused"] and not engine.build_from_folder(str(home), force=True)["reused"]
+    assert not Engine(spark, index_root, Config(k1=1.2)).build_from_folder(str(home))["reused"]
+    assert engine.status()["freshness"] == {"checked": True, "by": "digest", "fresh": True}
+    (home / "guide" / "pages" / "page-001.md").write_text("changed")
+    assert engine.status()["freshness"]["fresh"] is False and engine.warmup() > 0
+    assert cli.main(["search", "library", "--index", index_root, "--limit", "1"], spark) == 0 and "library" in capsys.readouterr().out
+    for wrong in (["build", "--index", index_root], ["search", "--index", index_root], ["ingest", "--index", index_root]):
+        with pytest.raises(SystemExit):
+            cli.main(wrong, spark)
+    with pytest.raises(ValueError):
+        engine.build_index(index.with_attributes(artifacts.read_artifacts(spark, str(home)).limit(0)), spark.createDataFrame([], KIND))
+
+
+def test_ingest_command(spark, tmp_path, capsys):
+    (tmp_path / "a.txt").write_text("The rules of the library, long enough to be taken for a document with text.")
+    (tmp_path / "scan.txt").write_text("?")
+    args = ["--index", f"file://{tmp_path}/index"]
+    said = lambda: json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert cli.main(["ingest", f"{tmp_path}/a.txt", "--dry-run", *args], spark) == 0 and said()["changes"] == {"a.txt": "added"}
+    assert cli.main(["ingest", f"{tmp_path}/a.txt", "--document-id", "a", "--effective-date", "2024-01-31", *args], spark) == 0
+    out = said()
+    assert out["source_types"] == {"a.txt": "native"} and out["documents"][0]["document_id"] == "a" and out["index"]["chunks"] == 1
+    with pytest.raises(ValueError):  # a scanned page without OCR fails the gate
+        cli.main(["ingest", f"{tmp_path}/scan.txt", *args], spark)
+    assert cli.main(["ingest", f"{tmp_path}/scan.txt", "--allow-quality-failures", *args], spark) == 0
+    assert [d["source_file"] for d in said()["documents"]] == ["a.txt", "scan.txt"]
+
+
+def test_ocr_reuse_and_artifacts(spark):
+    pages = spark.createDataFrame([("f", k) for k in range(1, 5)], "source_file string, page int")
+    line = "source_file string, page int, x double, y double, text string, score double"
+    cached = spark.createDataFrame([("f", 4, 0.0, 0.0, "old", 0.9), ("g", 1, 0.0, 0.0, "other", 0.9)], line)
+    seen = []
+
+    def recognize(todo):
+        seen.extend(r.page for r in todo.orderBy("page").collect())
+        return todo.selectExpr("source_file", "page", "0.0D as x", "0.0D as y", "'new' as text", "0.5D as score")
+
+    got = artifacts.recognized_lines(pages, cached, recognize, 2, 4)
+    assert sorted((r.page, r.text) for r in got.collect()) == [(2, "new"), (3, "new"), (4, "old")] and seen == [2, 3]
+    with pytest.raises(ValueError):
+        artifacts.recognized_lines(pages, cached, recognize, dpi=0)
+    read = extract.continue_pages(extract.ocr_pages(got), ["source_file"], "page").withColumn("decision", F.lit("ocr"))
+    rows = {r.path: r for r in ingest.page_artifacts(read).collect()}
+    assert rows["f/pages/page-002.md"].low_confidence and "2 页" in rows["f/pages/page-002.md"].processing_note and rows["f/pages/page-004.md"].processing_note is None
+    tables = spark.createDataFrame([("f", 2, 1, "| a |", "Grades", "lattice", 0.5)], "source_file string, page int, table_no int, markdown string, title string, method string, score double")
+    r = ingest.table_artifacts(tables).first()
+    assert (r.path, r.content, r.low_confidence) == ("f/tables/page-002-table-01.md", "# Grades\n\n| a |", True)
+
+
+def test_batch_plug_ins(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "record_index long, text string").repartition(3)
+    sizes = dense.encode(rows, "record_index", "text", lambda: lambda texts: np.array([[len(texts), t.startswith("say: text")] for t in texts], float), batch=7, instruction="say: ").collect()
+    assert len(sizes) == 40 and all(0 < r.vec[0] <= 7 and r.vec[1] == 1 for r in sizes)
+    unit = dense.encode(rows, "record_index").first().vec
+    assert sum(x * x for x in unit) == pytest.approx(1) and dense.encode(spark.createDataFrame([(1, None)], "record_index long, text string"), "record_index").first().vec == [0.0] * 64
+    pairs = rows.selectExpr("1L as qid", "'q' as query", "text", "record_index", "cast(record_index + 1 as int) as retrieval_rank")
+    scored = rerank.rerank(pairs, rerank.batch_scorer(lambda: lambda some: [int(t.split()[1]) / 100 for _, t in some], 16))
+    assert scored.orderBy("score_rank").first().record_index == 39
+    for bad in (lambda: dense.encode(rows, "record_index", batch=0), lambda: rerank.batch_scorer(None, 0)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_tokens_agree(spark):
+    rnd = random.Random(3)
+    parts = ["Ab", "İ", "ſ", "第", "一", "。", "x-y", ".", "/", "9", " ", "é", "K", "鿿", "\n", "_"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(300)] + [None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tokens(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == [tokens_of(t) for t in texts]
 
 
 def test_registered_queries_ask_with_whole_texts(spark, tmp_path):
