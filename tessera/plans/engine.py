@@ -24,14 +24,18 @@ def index_text(chunks: DataFrame):
     return F.coalesce("retrieval_text", "text") if "retrieval_text" in chunks.columns else F.col("text")
 
 
-def search_frame(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, limit: int = 5, scorer=rerank.overlap_score, c: Config = DEFAULT) -> DataFrame:
+def search_frame(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, limit: int = 5, scorer=rerank.overlap_score, c: Config = DEFAULT, posts: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """All queries at once.  ``chunks``: record_index, text, source_type, source_file, active, ...; ``queries``: qid, query.
 
     Inactive versions leave before any statistic is taken; the two channels, fusion,
-    blending and protection then shrink to at most ``channel_limit`` rows a query.
+    blending and protection then shrink to at most ``channel_limit`` rows a query.  A few
+    queries are cheapest with the postings and lengths of a stored index, many without.
     """
     live = chunks.where(F.coalesce(F.col("active"), F.lit(True)))
-    a = lexical.bm25(live.select("record_index", index_text(chunks).alias("text")), queries, c=c)
+    if posts is not None and lengths is not None:
+        a = lexical.bm25_indexed(posts, lengths, live, queries, c=c)
+    else:
+        a = lexical.bm25(live.select("record_index", index_text(chunks).alias("text")), queries, c=c)
     b = dense.vector_search(vectors.join(live.select("record_index"), "record_index", "left_semi"), query_vectors, c.channel_limit, c.rank_digits)
     fused = settled(fusion.rrf_fuse(a, b, c.channel_limit, rrf_k=c.rrf_k, bm25_weight=c.bm25_weight, vector_weight=c.vector_weight))
     expanded = queries.select("qid", lexical.expand_query(F.col("query")).alias("query"))
@@ -87,8 +91,8 @@ class Engine:
         sizes = vectors.agg(F.min(F.size("vec")).alias("a"), F.max(F.size("vec")).alias("b")).first()
         if sizes.a != sizes.b:
             raise ValueError("the encoder's vectors differ in length")
-        posts = lexical.postings(records.select("record_index", index_text(records).alias("text")))
-        tables = {"chunks": records, "postings": posts, "vectors": vectors, "versions": index.document_versions(records), "artifacts": artifacts, "manifest": manifest}
+        told = records.select("record_index", index_text(records).alias("text"))
+        tables = {"chunks": records, "postings": lexical.postings(told), "lengths": lexical.document_lengths(told), "vectors": vectors, "versions": index.document_versions(records), "artifacts": artifacts, "manifest": manifest}
         metadata = facts | {
             "schema_version": c.schema_version, "tables": list(tables), "dimension": sizes.a, "documents": records.select("source_file").distinct().count(), "artifacts_digest": artifacts_digest,
             "built_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "built_ms": int(time.time() * 1000),
@@ -133,7 +137,7 @@ class Engine:
             _, t = self.load()
             q = self.spark.createDataFrame([(0, query)], "qid long, query string")
             qv = dense.encode(q, "qid", "query", self.encoder, instruction=self.config.query_instruction)
-            rows = search_frame(t["chunks"], t["vectors"], q, qv, limit, self.scorer, self.config).orderBy("rank").collect()
+            rows = search_frame(t["chunks"], t["vectors"], q, qv, limit, self.scorer, self.config, t["postings"], t["lengths"]).orderBy("rank").collect()
             self._results[key] = [r.asDict(recursive=True) for r in rows]
             while len(self._results) > 128:
                 self._results.popitem(last=False)
@@ -166,10 +170,10 @@ class Engine:
         """Holds the tables and runs one search, which wakes scorer and encoder; milliseconds."""
         began = time.perf_counter()
         _, tables = self.load()
-        for name in ("chunks", "vectors"):
+        for name in ("chunks", "vectors", "postings", "lengths"):
             tables[name].persist().count()
         q = self.spark.createDataFrame([(0, "warm up")], "qid long, query string")
-        search_frame(tables["chunks"], tables["vectors"], q, dense.encode(q, "qid", "query", self.encoder), 1, self.scorer, self.config).count()
+        search_frame(tables["chunks"], tables["vectors"], q, dense.encode(q, "qid", "query", self.encoder), 1, self.scorer, self.config, tables["postings"], tables["lengths"]).count()
         return 1000 * (time.perf_counter() - began)
 
     def freshness(self) -> dict:

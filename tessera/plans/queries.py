@@ -434,10 +434,19 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with {_CASES}
 select method, category, pdf_type, case when grouping(category) = 1 and grouping(pdf_type) = 1 then 'overall' when grouping(category) = 0 then 'category' else 'pdf_type' end as scope, count(*) as cases, count(*) filter (where fr = 1) as hits_at_1, count(*) filter (where fr <= 5) as hits_at_5,
-  round(avg(coalesce(fr = 1, false)::int), 4) as recall_at_1, round(avg(coalesce(fr <= 3, false)::int), 4) as recall_at_3, round(avg(coalesce(fr <= 5, false)::int), 4) as recall_at_5, round(avg(case when fr <= 5 then 1.0::double / fr else 0 end), 4) as mrr_at_5, round(avg(ndcg), 4) as ndcg_at_5, round(avg(coalesce(fr <= 20, false)::int), 4) as oracle_recall_at_20
+  round(avg(coalesce(fr = 1, false)::int), 4) as recall_at_1, round(avg(coalesce(fr <= 3, false)::int), 4) as recall_at_3, round(avg(coalesce(fr <= 5, false)::int), 4) as recall_at_5, round(avg(case when fr <= 5 then 1.0::double / fr else 0 end), 4) as mrr_at_5, round(avg(ndcg), 4) as ndcg_at_5, round(avg(case when fr <= 5 then 1.0::double / fr else 0 end), 4) as mrr, round(avg((fr is not null)::int), 4) as candidate_recall,
+  case when method <> 'reversed' then round(avg(coalesce(fr <= 20, false)::int), 4) end as oracle_recall_at_20
 from cs group by grouping sets ((method), (method, category), (method, pdf_type))""")
 def retrieval_metrics(spark, d):
-    return evaluate.report(_cases(spark, d))
+    return evaluate.report(_cases(spark, d), without_oracle=("reversed",))
+
+
+@query(f"""with {_CASES}, m as (select method, pdf_type, category, count(*) as n, count(*) filter (where fr is null or fr <> 1) as m from cs group by all)
+select method, pdf_type, sum(n)::bigint as cases, sum(n - m)::bigint as hits_at_1, round(sum(n - m) / sum(n), 4) as recall_at_1, sum(m)::bigint as misses, coalesce(string_agg(category || ':' || m, ',' order by category) filter (where m > 0), '') as missed from m group by method, pdf_type""")
+def first_place(spark, d):
+    out = evaluate.first_place(_cases(spark, d))
+    said = F.array_join(F.transform(F.map_entries("misses_by_category"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    return out.withColumn("missed", said).drop("misses_by_category")
 
 
 @query(f"with {_CASES} select method, count(*) filter (where fr is null) as not_recalled, count(*) filter (where fr > 5) as beyond_5, count(*) filter (where fr > 1 and fr <= 5) as within_5 from cs group by method")
@@ -472,6 +481,19 @@ def refusal_confusion(spark, d):
     return evaluate.refusal_at(_labelled(spark, d), 0.75).select("accepted_answerable", "false_refusals", "correct_refusals", "false_answers", r9("accept_rate"), r9("refusal_recall"), r9("balanced_accuracy"))
 
 
+@query(f"""with {_LABELLED}, t as (select *, case when answerable then case when score < 0.4 then 'unknown' else 'native' end else case when hard then 'unspecified' else 'toxic' end end as kind from r)
+select case when answerable then 'answerable' else 'no_answer' end as side, kind, count(*) as cases, case when answerable then round(avg((score >= 0.75)::int), 4) end as accept_rate, case when answerable then round(avg((score < 0.75)::int), 4) end as false_refusal_rate,
+  case when not answerable then round(avg((score < 0.75)::int), 4) end as refusal_recall, case when not answerable then round(avg((score >= 0.75)::int), 4) end as false_answer_rate from t group by answerable, kind""")
+def refusal_breakdown(spark, d):
+    rows = _labelled(spark, d).withColumn("source_type", F.when(F.col("score") >= 0.4, "native")).withColumn("no_answer_type", F.when(F.col("hard_rules_passed"), "").otherwise("toxic"))
+    return evaluate.refusal_breakdown(rows, 0.75)
+
+
+@query(f"with {_LABELLED} select answerable, count(*) as cases, round(min(score), 6) as minimum, round(avg(score), 6) as mean, round(max(score), 6) as maximum from r group by answerable")
+def score_summary(spark, d):
+    return evaluate.score_summary(_labelled(spark, d), ["answerable"])
+
+
 @query("select event_type, count(*) as n, round(avg(value), 6) as mean_ms, quantile_disc(value, 0.5) as p50_ms, quantile_disc(value, 0.95) as p95_ms, min(value) as min_ms, max(value) as max_ms from events group by event_type")
 def latency_percentile(spark, d):
     return evaluate.latency(table(spark, d, "events"), "value", ["event_type"])

@@ -114,6 +114,11 @@ def test_bm25_against_formula(spark):
         if s > 0:
             want[k] = round(s, 6)
     assert got == pytest.approx(want)
+    asked_ = spark.createDataFrame([(0, "beta beta gamma"), (1, "delta"), (2, "none")], "qid int, query string")
+    for live in (chunks, chunks.where("record_index <> 1")):
+        stored = lexical.bm25_indexed(lexical.postings(chunks), lexical.document_lengths(chunks), live, asked_).collect()
+        fresh = lexical.bm25(live, asked_).collect()
+        assert sorted((r.qid, r.record_index, r.score, r["rank"]) for r in stored) == sorted((r.qid, r.record_index, r.score, r["rank"]) for r in fresh) and stored
     only = lexical.bm25(chunks.where("record_index = 1"), spark.createDataFrame([(0, "beta")], "qid int, query string")).collect()
     assert [r.record_index for r in only] == [1]
 
@@ -286,6 +291,26 @@ def test_metrics(spark):
     totals = spark.createDataFrame([(0, 1, "a", "native"), (1, 1, "b", "scanned")], "case_id int, n_relevant long, category string, pdf_type string")
     r = evaluate.report(evaluate.case_metrics(rankings, totals)).where("scope = 'overall'").first()
     assert ranks and (r.recall_at_1, r.recall_at_3, r.recall_at_5, r.mrr_at_5, r.ndcg_at_5) == (0.0, 1.0, 1.0, 0.4167, 0.5655)
+    assert (r.mrr, r.candidate_recall, r.oracle_recall_at_20) == (0.4167, 1.0, 1.0)
+    kind = "method string, case_id int, first_rank int, ndcg double, category string, pdf_type string"
+    methods = {"legacy": [5, None], "bm25": [2, 6], "vector": [None, 2], "hybrid": [2, 2], "reranker": [1, 1]}
+    cases = spark.createDataFrame([(m, k, rank, 0.5 if rank else 0.0, "ab"[k], ["native", "scanned"][k]) for m, ranks in methods.items() for k, rank in enumerate(ranks)], kind)
+    rows = evaluate.report(cases)
+    assert rows.where("method = 'reranker' and oracle_recall_at_20 is not null").count() == 0
+    only = {(r.method, r.pdf_type): r for r in evaluate.report(cases.where("pdf_type = 'native'")).where("scope = 'pdf_type'").collect()}
+    assert only["bm25", "scanned"].cases == 0 and only["bm25", "scanned"].mrr is None and only["bm25", "native"].cases == 1
+    gates = evaluate.acceptance(rows).first().asDict()
+    assert all(gates.values()) and len(gates) == 8
+    worse = evaluate.acceptance(evaluate.report(cases.withColumn("first_rank", F.expr("if(method = 'reranker', 6, first_rank)")))).first()
+    assert not worse.passed and not worse.reranker_mrr_above_hybrid_by_pdf_type and worse.hybrid_recall_above_legacy
+    assert not evaluate.acceptance(evaluate.report(cases.where("method <> 'legacy'"))).first().hybrid_recall_above_legacy
+    place = {(r.method, r.pdf_type): r for r in evaluate.first_place(cases).collect()}
+    assert place["legacy", "scanned"].misses_by_category == {"b": 1} and place["reranker", "native"].misses_by_category == {} and place["reranker", "native"].recall_at_1 == 1.0
+    assert [(r.method, r.first_rank) for r in evaluate.worst_cases(cases, 3).collect()] == [("vector", None), ("legacy", None), ("bm25", 6)]
+    chunks = spark.createDataFrame([("f", "pdf"), ("f", "ocr"), ("g", "table")], "source_file string, source_type string")
+    assert {r.source_file: r.pdf_type for r in evaluate.file_types(chunks).collect()} == {"f": "scanned", "g": "native"}
+    found = spark.createDataFrame([(["target"], "target", "x", "f", 9, [1]), (["target"], "other", "f", "f", 1, [1]), (None, "other", "f", "f", 1, [1]), ([], "other", "f", "f", 2, [1])], "relevant_chunk_ids array<string>, chunk_id string, source_file string, expected_file string, page int, pages array<int>")
+    assert [r.r for r in found.select(evaluate.relevant().alias("r")).collect()] == [True, False, True, False]
 
 
 def test_thresholds(spark):
@@ -298,6 +323,21 @@ def test_thresholds(spark):
     x = evaluate.constrained_threshold(facts, 0.0).first()
     assert x.threshold > 0.6 and x.false_answer_rate == 0
     assert evaluate.classify(facts.where("answerable"), 0.5).first().false_answer_rate is None
+    kinds = "answerable boolean, score double, source_type string, no_answer_type string"
+    some = spark.createDataFrame([(True, 0.9, "native", None), (True, 0.4, "native", None), (True, 0.8, None, None), (False, 0.8, None, "outside_corpus"), (False, 0.2, None, "outside_corpus"), (False, None, None, None), (False, 0.1, None, None)], kinds)
+    got = {(r.side, r.kind): r for r in evaluate.refusal_breakdown(some, 0.75).collect()}
+    assert got["answerable", "native"].false_refusal_rate == 0.5 and got["no_answer", "outside_corpus"].false_answer_rate == 0.5 and got["answerable", "unknown"].accept_rate == 1.0 and got["no_answer", "unspecified"].refusal_recall == 1.0
+    assert evaluate.refusal_report(some)["mode"] == "not_scored" and evaluate.refusal_report(some)["metrics"] is None
+    fixed = evaluate.refusal_report(some, 0.75)
+    assert fixed["mode"] == "fixed_threshold" and fixed["metrics"]["false_answers"] == 1 and len(fixed["breakdown"]) == 4
+    assert evaluate.refusal_report(some, calibrated=True)["metrics"]["threshold"] in (0.4, 0.8, 0.9) and fixed["score_summary"]["no_answer"]["cases"] == 3
+    with pytest.raises(ValueError):
+        evaluate.refusal_report(some.limit(0), calibrated=True)
+    judged_ = judged(spark, "本科学生国家奖学金奖励标准是多少", [("本科学生国家奖学金奖励标准", 0.9)])
+    facts_ = spark.createDataFrame([(0.9, 0.5, False, False, None, []), (0.05, 0.5, False, False, None, []), (0.9, 0.1, False, False, None, []), (0.9, 0.5, True, False, None, []), (0.9, 0.5, True, True, None, []), (0.9, 0.5, False, False, "x", []), (0.9, 0.5, False, False, None, ["y"]), (None, 0.5, False, False, None, None)], "top_score double, coverage double, time_sensitive boolean, current_evidence boolean, wrong_entity string, missing_cues array<string>")
+    assert judged_ is not None and [r.x for r in facts_.select(evaluate.hard_rules().alias("x")).collect()] == [True, False, False, False, True, False, False, False]
+    rates = spark.createDataFrame([(0.05, 0.65), (0.06, 0.66), (None, None)], "false_answer_rate double, accept_rate double")
+    assert [(r.far_ok, r.frr_ok) for r in evaluate.gates(rates).collect()] == [(True, False), (False, True), (True, True)]
     p = evaluate.latency(spark.createDataFrame([(float(k),) for k in (1, 2, 3, 4)], "v double"), "v", []).first()
     assert (p.p50_ms, p.p95_ms) == (2.0, 4.0)
 
@@ -320,10 +360,43 @@ def test_answers(spark):
     broken = {(x.id, x.rule) for x in answers.violations(cases, "I can't answer").collect()}
     assert {("c2", "citation_differs_from_retrieval"), ("c 3", "refusal_text"), ("c 3", "unsafe_id"), ("c 3", "confidence_out_of_range")} <= broken
     assert not [x for x in broken if x[0] == "c1"]
-    assert answers.report(answers.score_cases(cases)).first().passed == 1
+    r = answers.report(answers.score_cases(answers.with_fact_bigrams(cases))).first()
+    assert (r.passed, r.cases, r.answerable_cases, r.no_answer_cases, r.answerable_answer_rate, r.no_answer_refusal_accuracy, r.fact_recall, r.citation_precision, r.citation_recall) == (1, 3, 2, 1, 1.0, 1.0, 0.5, 0.25, 0.25)
+    assert (r.supported_citation_rate, r.citation_metadata_complete_rate, r.incorrect_answer_rate, r.false_answer_rate, r.false_refusal_rate, r.insufficient_refusal_compliance) == (0.5, 1.0, 0.0, 0.0, 0.0, None)
+    assert (r.reviewed_answerable_cases, r.review_coverage, r.review_correct_rate, r.review_uses_model_memory_or_guess_rate, r.fact_bigram_recall) == (1, 0.5, 1.0, 0.0, 0.5)
     assert answers.unmatched_ids(cases.select("id"), cases.where("id <> 'c2'").select("id")).count() == 1
 
 
+def test_case_results_follow_the_protocol(spark):
+    tasks = spark.createDataFrame([("a", "question a", 2, 1), ("b", "question b", 2, 0)], "id string, query string, limit int, task_order int")
+    hit = ("k1", "f", 1, "text")
+    good = [
+        ("1.0", "a", "question a", ("search_knowledge_base", ("question a", 2), ("question a", True, 0.9, "ok", [hit, ("k2", "f", 2, "more")])), ("a", "An answer.", False, ["k1"], [("k1", "f", 1)])),
+        ("1.0", "b", "question b", ("search_knowledge_base", ("question b", 2), ("question b", False, 0.1, "no", [hit])), ("b", answers.REFUSAL, True, [], [])),
+    ]
+    frame = lambda rows: spark.createDataFrame(rows, answers.CASE_RESULT)
+    assert answers.protocol_violations(tasks, frame(good), "1.0").count() == 0
+    merged = answers.merge_predictions(tasks, frame(good), "1.0").collect()
+    assert [r.id for r in merged] == ["b", "a"] and merged[1].citations[0].chunk_id == "k1" and merged[0].review.correct is None
+
+    def broken(**change):
+        version, name, query, (tool, arguments, (asked, enough, confidence, reason, found)), (own, answer, refused, cited, citations) = good[0]
+        v = dict(version=version, query=query, tool=tool, arguments=arguments, asked=asked, enough=enough, confidence=confidence, reason=reason, found=found, own=own, answer=answer, refused=refused, cited=cited, citations=citations) | change
+        row = (v["version"], name, v["query"], (v["tool"], v["arguments"], (v["asked"], v["enough"], v["confidence"], v["reason"], v["found"])), (v["own"], v["answer"], v["refused"], v["cited"], v["citations"]))
+        return {r.rule for r in answers.protocol_violations(tasks, frame([row]), "1.0").collect()}
+
+    for change, rule in (
+        (dict(version="2"), "protocol_version"), (dict(query="x"), "query_differs_from_task"), (dict(tool="x"), "unexpected_tool"), (dict(arguments=("question a", 3)), "tool_arguments_differ_from_task"), (dict(asked="x"), "tool_result_query"),
+        (dict(confidence=None), "tool_result_incomplete"), (dict(found=[hit, ("k2", "f", 2, ""), ("k3", "f", 3, "")]), "too_many_results"), (dict(found=[hit, ("k2", None, 2, "")]), "result_field_missing"), (dict(found=[hit, hit]), "repeated_result"),
+        (dict(own="b"), "prediction_id"), (dict(refused=None), "prediction_incomplete"), (dict(cited=["k1", ""]), "blank_citation"), (dict(cited=["k1", "k1"]), "repeated_citation"), (dict(citations=[("k9", "f", 1)], cited=["k9"]), "cited_chunk_not_retrieved"),
+        (dict(citations=[("k1", "f", 9)]), "citation_differs_from_retrieval"), (dict(cited=["k2"]), "citations_differ_from_cited_ids"), (dict(answer=" "), "must_answer_with_citation"), (dict(enough=False), "must_refuse_with_fixed_text"),
+    ):
+        assert rule in broken(**change), rule
+    for rows in (good[:1], good + good[:1], [good[0], (good[1][0], "c", *good[1][2:])], [good[1], ("2", *good[0][1:])]):
+        with pytest.raises(ValueError):
+            answers.merge_predictions(tasks, frame(rows), "1.0")
+
+
 def test_front_matter_and_files(spark, tmp_path):
     raw = spark.createDataFrame([("---\nurl: http://x:1\n a : b \nnoise\n---\n\nbody --- x\n",), ("\n\tplain ",)], "raw string")
     a, c = artifacts.front_matter(F.col("raw"))
