@@ -17,9 +17,9 @@ a hash of its rows into as many blocks as it takes to stay under ``block_bytes``
 the texts are read once per block.  Nothing is shuffled but the hits of several blocks,
 which name the rows that leave by id and text.
 
-Defined results.  Null and empty texts are clean.  Items of fewer than ``least`` words
-or without text are no evidence and never match.  Rows are judged one by one; equal
-items both count.
+Defined results.  Null and empty texts are clean.  An item of fewer than ``least`` words
+is contained in a text only if the text has just its words; items without words are no
+evidence.  Rows are judged one by one; equal items both count.
 """
 
 from __future__ import annotations
@@ -105,11 +105,18 @@ class Seeds:
         self.grams, self.owner, self.place = grams[order], owner[order], place[order]
         self.map = np.zeros(1 << self.BITS, bool)
         self.map[self.grams >> np.uint64(64 - self.BITS)] = True
+        #: Items too short for a seed, by their words.
+        self.short: dict[bytes, list[object]] = {}
+        for name, w in items:
+            if 0 < len(w) < p.least:
+                self.short.setdefault(w.tobytes(), []).append(name)
         #: Different seeds without which an item can't be covered.
         self.least = [math.ceil(math.ceil(p.percent * len(w) / 100) / p.least) for _, w in items]
 
     def hits(self, text: np.ndarray, runs: np.ndarray) -> list[tuple[object, int, int]]:
         """Items that the text contains: id, words covered, words of the item."""
+        if len(text) < self.p.least:
+            return [(name, len(text), len(text)) for name in self.short.get(text.tobytes(), ())] if len(text) else []
         near = np.flatnonzero(self.map[runs >> np.uint64(64 - self.BITS)])
         if not len(near):
             return []
@@ -138,7 +145,7 @@ class Seeds:
 def _seeds(rows: tuple[tuple[object, str], ...], p: Tiling) -> Seeds:
     """The seeds of a block, made once in a worker."""
     words = words_of(pa.array([t for _, t in rows], pa.string()))
-    return Seeds([(i, w) for (i, _), w in zip(rows, words, strict=True) if len(w) >= p.least], p)
+    return Seeds([(i, w) for (i, _), w in zip(rows, words, strict=True)], p)
 
 
 def _found(rows: list[tuple[object, str]], p: Tiling, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -149,7 +156,7 @@ def _found(rows: list[tuple[object, str]], p: Tiling, whole: bool) -> Callable[[
                 starts, ends, first = B.spans(B.LOWER[data], offsets, B.ALNUM)
                 hashes = B.span_hashes(data, starts, ends, fold=True)
                 runs = B.grams(hashes, p.least)
-                found = [sorted(seeds.hits(hashes[a:b], runs[a : b - p.least + 1]), key=str) if b - a >= p.least else [] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                found = [sorted(seeds.hits(hashes[a:b], runs[a : max(a, b - p.least + 1)]), key=str) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 held = pa.RecordBatch.from_arrays([c.slice(at, len(found)) for c in batch.columns[:-1]], batch.schema.names[:-1])
                 if whole:
                     yield held.filter(pa.array([not f for f in found]))

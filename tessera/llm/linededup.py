@@ -68,7 +68,11 @@ def _text(lines: str, a: Column, n: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, p: LineChunks = LineChunks(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with repeated chunks gone from ``text_col``, and _n_lines, _n_removed, _n_chunks."""
+    """The rows of ``docs`` with repeated chunks gone from ``text_col``, and _n_lines, _n_removed, _n_chunks, which take the place of columns so named."""
+    docs = docs.drop("_n_lines", "_n_removed", "_n_chunks")
+    names = docs.columns
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))  # no column of the caller's can clash with those used here
+    id_col, text_col = (f"c{names.index(x)}" for x in (id_col, text_col))
     keyed = with_chunks(docs, p, text_col).withColumn("_key", F.xxhash64(F.col(text_col)))
     place = keyed.select(F.col(id_col).alias("id"), F.col("_key").alias("key"), "_lines", F.explode(F.filter("_chunks", lambda c: (c["n"] > 1) | F.try_element_at("_h", c["a"] + 1)["w"])).alias("c"))
     chunk = place.select("id", "key", F.col("c.a").alias("a"), F.col("c.n").alias("n"), _text("_lines", F.col("c.a"), F.col("c.n")).alias("t")).where("t rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
@@ -86,10 +90,11 @@ def deduplicated(docs: DataFrame, p: LineChunks = LineChunks(), id_col: str = "d
     stay = F.filter("_chunks", lambda c: ~F.array_contains("_same", c["a"]))
     text = F.array_join(F.transform(stay, lambda c: _text("_lines", c["a"], c["n"])), "\n")
     lost = F.aggregate(F.filter("_chunks", lambda c: F.array_contains("_same", c["a"])), F.lit(0).cast("long"), lambda x, c: x + c["n"])
-    return met.select(
-        *(F.when(F.size("_same") > 0, text).otherwise(F.col(c)).alias(c) if c == text_col else docs[c] for c in docs.columns),
+    out = met.select(
+        *((F.when(F.size("_same") > 0, text).otherwise(F.col(c)) if c == text_col else F.col(c)).alias(c) for c in docs.columns),
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("_n_lines"), lost.alias("_n_removed"), F.size("_same").cast("long").alias("_n_chunks"),
     )
+    return out.toDF(*names, "_n_lines", "_n_removed", "_n_chunks")
 
 
 @dataclass(frozen=True)
@@ -163,8 +168,10 @@ def without_repeated_runs(docs: DataFrame, p: Runs = Runs(), id_col: str = "doc_
     stay = lambda all_: F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), lines), lambda k: F.get(all_, k))
     text = _let(_lines_of(F.col(text_col)), lambda all_: F.array_join(stay(all_), "\n"))
     opens = _let(F.col(lines), lambda x: F.size(F.filter(F.transform(x, lambda k, i: F.when((i == 0) | (F.get(x, i - 1) != k - 1), k)), lambda k: k.isNotNull())))
-    return met.select(
-        *(F.when(some, text).otherwise(F.col(c)).alias(c) if c == text_col else met[c] for c in docs.columns),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(_lines_of(F.col(text_col)))).cast("long").alias(counts[0]),
-        F.when(some, F.size(lines)).otherwise(F.lit(0)).cast("long").alias(counts[1]), F.when(some, opens).otherwise(F.lit(0)).cast("long").alias(counts[2]),
+    inner = [f"c{k}" for k in range(len(docs.columns))]
+    out = met.select(
+        *((F.when(some, text).otherwise(F.col(c)) if c == text_col else met[c]).alias(x) for x, c in zip(inner, docs.columns, strict=True)),
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(_lines_of(F.col(text_col)))).cast("long").alias("_n_lines"),
+        F.when(some, F.size(lines)).otherwise(F.lit(0)).cast("long").alias("_n_removed"), F.when(some, opens).otherwise(F.lit(0)).cast("long").alias("_n_chunks"),
     )
+    return out.toDF(*docs.columns, *counts)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -111,21 +112,38 @@ class UrlModel:
         return out.select(*rows.columns, vector_to_array("probability")[1].alias("_bad"))
 
 
+def _sampled(rows: DataFrame, p: Boosting) -> DataFrame:
+    """The ``sample`` different URLs of each label with the smallest hashes.
+
+    Rows are first cut by a bound on the hash below which each label is expected to have many times as many; only those
+    are shuffled.  A label that has fewer URLs below the bound, as its rows repeat them, is cut by no bound.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("_url"), 12)
+    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    bound = lambda n: min(1.0, 16 * p.sample / n)
+    below = lambda bounds: reduce(lambda c, x: c | x, ((F.col("label") == label) & (place <= int(share * (1 << 52))) for label, share in bounds.items()), F.lit(False))
+    bounds = {label: bound(n) for label, n in sizes.items()}
+    if any(share < 1 for share in bounds.values()):
+        found = {r.label: r["count"] for r in rows.where(below(bounds)).distinct().groupBy("label").count().collect()}
+        bounds = {label: share if found.get(label, 0) >= p.sample else 1.0 for label, share in bounds.items()}
+    order = Window.partitionBy("label").orderBy(place, "_url")
+    return rows.where(below(bounds)).distinct().withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= p.sample).drop("_k")
+
+
 def train(labelled: DataFrame, p: Boosting = Boosting(), url_col: str = "url", label_col: str = "label") -> UrlModel:
     """Trees from rows of url and label (1: bad)."""
     host, path = parts(F.col("_url"))
-    rows = labelled.select(F.col(url_col).alias("_url"), F.col(label_col).cast("double").alias("label")).where("_url is not null and label is not null").distinct()
-    order = Window.partitionBy("label").orderBy(F.xxhash64("_url"), "_url")
-    rows = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= p.sample).drop("_k")
+    rows = _sampled(labelled.select(F.col(url_col).alias("_url"), F.col(label_col).cast("double").alias("label")).where("_url is not null and label is not null"), p)
     rows = with_features(rows.withColumn("_host", host).withColumn("_path", path)).cache()
     try:
         seen = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
         if not {0.0, 1.0} <= seen.keys():
             return UrlModel(None, None, 0.0)
         prior = seen[1.0] / sum(seen.values())
-        # Smoothed by ten URLs of the prior; at most one row per sampled URL.
-        suffixes = rows.groupBy("_suffix").agg(((F.sum("label") + 10 * prior) / (F.count(F.lit(1)) + 10)).alias("_share"))
-        met = rows.join(suffixes, "_suffix").withColumnRenamed("_share", "f_suffix")
+        # Smoothed by ten URLs of the prior; at most one row per sampled URL.  In training a URL doesn't count towards its own suffix.
+        sums = rows.groupBy("_suffix").agg(F.sum("label").alias("_bad"), F.count(F.lit(1)).alias("_n"))
+        suffixes = sums.select("_suffix", ((F.col("_bad") + 10 * prior) / (F.col("_n") + 10)).alias("_share"))
+        met = rows.join(sums, "_suffix").withColumn("f_suffix", (F.col("_bad") - F.col("label") + 10 * prior) / (F.col("_n") + 9))
         held = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(met).select("features", "label")
         trees = GBTClassifier(maxIter=p.rounds, maxDepth=p.depth, seed=p.seed, stepSize=0.3).fit(held)
         small = labelled.sparkSession.createDataFrame([(r["_suffix"], r["_share"]) for r in suffixes.collect()], "_suffix string, _share double")

@@ -276,6 +276,35 @@ def test_url_rules_and_trees(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_url_sample_and_odd_rows(spark):
+    rnd = random.Random(7)
+    urls_ = [(f"http://{'spam' if k % 5 == 0 else 'good'}{rnd.randrange(400)}.example/{rnd.randrange(3)}", float(k % 5 == 0)) for k in range(6000)] + [("http://one.example/", 1.0)] * 3000
+    rows = spark.createDataFrame(urls_, "_url string, label double").repartition(4)
+    for n in (10, 200, 5000):
+        got = collections.Counter(r.label for r in urls._sampled(rows, urls.Boosting(sample=n)).collect())
+        assert got == {y: min(n, len({u for u, x in urls_ if x == y})) for y in (0.0, 1.0)}
+    few = {(r["_url"], r.label) for r in urls._sampled(rows, urls.Boosting(sample=10)).collect()}
+    assert few <= {(r["_url"], r.label) for r in urls._sampled(rows, urls.Boosting(sample=200)).collect()}
+    assert urls._sampled(rows.limit(0), urls.Boosting()).count() == 0
+    pages = spark.createDataFrame([(None, None, "a", "b"), (1, "x", None, None), (1, "x", None, None), (2, "http://spam1.example/a?b=c", "h", "v")], "page_id long, url string, _host string, verdict string")
+    out = urls.judge(pages, rows.select(rows["_url"].alias("url"), "label"), [urls.UrlRule("spam1.example", "/", "block")])
+    assert sorted((r.page_id or 0, r.host, r.rule or "") for r in out.collect()) == [(0, "", ""), (1, "", ""), (1, "", ""), (2, "spam1.example", "spam1.example/")]
+    assert urls.judge(pages.limit(0), rows.select(rows["_url"].alias("url"), "label"), []).count() == 0
+
+
+def test_url_trees_on_urls_they_were_not_trained_on(spark):
+    """Labels of the registered query; trees of three quarters of the URLs judge the rest."""
+    from tessera.llm import queries
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("url is not null").selectExpr("page_id", "url", f"cast(regexp_extract(url, '://([^/?#]*)', 1) rlike '{queries.BAD_WORDS}' as int) as label")
+    held = "crc32(url) % 4 = 2"
+    out = urls.judge(pages.where(held), pages.where(f"not ({held})").select("url", "label"), []).join(pages.select("page_id", "label"), "page_id")
+    right = out.where("(verdict = 'block') = (label = 1)").count()
+    most = max(r["count"] for r in out.groupBy("label").count().collect())
+    print("held-out URLs", out.count(), "right", right, "largest class", most)
+    assert right >= most
+
+
 # --- 4 ---
 
 
@@ -512,6 +541,8 @@ def test_line_dedup_odd_rows(spark, clashing, empty):
     assert sorted((r.doc_id or -1, r.text or "")[0] for r in out.collect()) == [-1, -1, 1, 1, 2]
     assert out.where("doc_id = 1 and text = 'one two three four five six'").count() == 2
     assert linededup.deduplicated(empty).count() == 0
+    crowded = clashing.selectExpr("*", *(f"text as {x}" for x in ("_key", "_lines", "_chunks", "_h", "_same", "_later", "c1")))
+    assert linededup.deduplicated(crowded).columns[: len(crowded.columns)] == crowded.columns and linededup.deduplicated(crowded).count() == 5
 
 
 def brute_runs(texts, least=50):
@@ -665,6 +696,19 @@ def test_tiling_matches_brute_force(spark):
     assert decontam.contaminated(spark, docs.where("false"), bench).count() == 0
 
 
+def test_short_items_match_whole_texts_only(spark, clashing, empty):
+    bench = spark.createDataFrame([(1, "Blue house."), (2, "one two three four five six"), (3, None), (4, "..."), (5, "blue HOUSE")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the blue house"), (2, "blue, house!"), (3, "house blue"), (4, ""), (5, None), (6, "One two, three four five six")], "doc_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontam.contaminated(spark, docs, bench).collect()} == {1: [], 2: [1, 5], 3: [], 4: [], 5: [], 6: [2]}
+    assert sorted(r.doc_id for r in decontam.clean(spark, docs, bench).collect()) == [1, 3, 4, 5]
+    crowded = clashing.selectExpr("*", *(f"text as {x}" for x in ("_tiled", "hits", "items", "_gone")))
+    for p in (decontam.Tiling(), decontam.Tiling(block_bytes=20)):
+        assert decontam.clean(spark, crowded, bench, p).columns == crowded.columns
+        assert [r.contaminated for r in decontam.contaminated(spark, clashing, bench, p).where("doc_id = 1").collect()] == [True, True]
+        assert sorted((r.doc_id is None, r.text is None) for r in decontam.clean(spark, clashing, bench, p).collect()) == [(False, False), (True, False), (True, True)]
+        assert decontam.contaminated(spark, empty, bench, p).count() == 0 and decontam.contaminated(spark, docs, bench.limit(0), p).where("contaminated").count() == 0
+
+
 def test_tiling_catches_reordered_passages():
     item = [f"w{k}" for k in range(30)]
     text = ["x"] * 5 + item[15:] + ["y"] + item[:15]
