@@ -11,8 +11,8 @@ picks a pivot per bucket, members are verified against the pivots that most of t
 buckets name, and buckets whose members have become one component leave.  After the
 first and the last round, shingles that no open set of another component has are set
 aside: the rest bounds every intersection to come from above, which takes out,
-exactly, the strays that resemble a group but not closely enough.  A few rounds settle groups of near copies of any size with a
-number of verified pairs in proportion to their members.  What is left after them is
+exactly, the strays that resemble a group but not closely enough.  A round settles most of a group of near copies of any size with a
+number of verified pairs in proportion to its members.  What is left after it is
 compared across components, so no proposed link is lost: see ``_left_over``.
 
 Full sets are the last thing to be read.  A pair is first tried on the sketches of its
@@ -40,6 +40,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,8 @@ class MinHash:
     #: Members beyond which a bucket is compared in tiles, and members of a tile.
     crowd: int = 64
     tile: int = 256
+    #: Pairs of a row that a tile yields at its second turn; four times as many at each further one.
+    nearest: int = 16
     #: Bits of the smallest and the largest sketch, powers of two.
     sketch_bits: tuple[int, int] = (1 << 11, 1 << 20)
     #: A key is dealt into parts beyond this share of all rows, and beyond this many rows.
@@ -227,24 +230,49 @@ def _alike(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
-def _tile(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Pairs (u, v) of a tile, a table of (part, node, n, k, c, bits), whose sketches allow a link.
-
-    Rows of part 0 are compared with those of part 1, or among each other where there
-    is no part 1.
+def _forest(pairs: np.ndarray, far: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The pairs, nearest first, that join parts that no nearer pair has joined; rows of a component are joined from the start."""
+    up = np.unique(c.astype(str), return_inverse=True)[1].tolist()
+    own, up = up, list(range(max(up, default=-1) + 1))
+    out = []
+    for k in np.argsort(far, kind="stable").tolist():
+        a, b = (own[r] for r in pairs[k])
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[a] = b
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def _nearest(pairs: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+    """Up to ``most`` pairs of each first row, nearest first."""
+    order = np.lexsort((far, pairs[:, 0]))
+    first = pairs[order, 0]
+    return order[np.arange(len(order)) - np.searchsorted(first, first) < most]
+
+
+def _tile(percent: int, most: int) -> Callable[[pa.Table], pa.Table]:
+    """Pairs (u, v, more) of a tile, a table of (part, node, n, k, c, bits), whose sketches allow a link.
+
+    Rows of part 0 are compared with those of part 1, or among each other where there is
+    no part 1.  Of the pairs found come up to ``most`` for each row, or with 0 those of a
+    forest; ``more`` says whether others were left out.
     """
 
     def run(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
-        part, n, k = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("part", "n", "k"))
-        c = np.array(batch.column(batch.schema.get_field_index("c")).to_pylist(), object)
-        bits, node = batch.column(batch.schema.get_field_index("bits")), batch.column(batch.schema.get_field_index("node"))
+        part, n, k, node, bits = (batch.column(batch.schema.get_field_index(x)) for x in ("part", "n", "k", "node", "bits"))
+        part, n, k = (x.to_numpy(zero_copy_only=False) for x in (part, n, k))
+        c = np.array([x.hex() for x in batch.column(batch.schema.get_field_index("c")).to_pylist()], object)
         wide = _widths(bits)
         left, right = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
         inner = not len(right)
         right = left if inner else right
         facing = {w: (rows := right[wide[right] == w], _bitmaps(bits, rows, w)) for w in np.unique(wide[right]).tolist()}
-        out: list[tuple[int, int]] = []
+        pairs, far = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
         for i in left.tolist():
             own = _bitmaps(bits, np.array([i]), int(wide[i]))
             for rows, maps in facing.values():
@@ -253,10 +281,15 @@ def _tile(percent: int) -> Callable[[pa.Table], pa.Table]:
                     ok &= rows > i
                 near = np.flatnonzero(ok)
                 if len(near):
-                    near = near[(100 - percent) * (n[rows[near]] + n[i]) >= (100 + percent) * _apart(own, maps[near])]
-                    out += [(i, j) for j in rows[near].tolist()]
-        u, v = (node.take(pa.array([x[e] for x in out], pa.int64())) for e in (0, 1))
-        return pa.table({"u": u, "v": v})
+                    apart, both = _apart(own, maps[near]), n[rows[near]] + n[i]
+                    hit = (100 - percent) * both >= (100 + percent) * apart
+                    found = rows[near[hit]]
+                    pairs.append(np.stack((np.full(len(found), i), found), 1))
+                    far.append(apart[hit] / both[hit])
+        every, apart = np.concatenate(pairs), np.concatenate(far)
+        kept = every[_nearest(every, apart, most) if most else _forest(every, apart, c)]
+        u, v = (node.take(pa.array(kept[:, e])) for e in (0, 1))
+        return pa.table({"u": u, "v": v, "more": pa.array(np.full(len(kept), len(kept) < len(every)))})
 
     return run
 
@@ -362,8 +395,10 @@ def components(ws: Workspace, links: DataFrame, large_from: int = 1 << 20) -> Da
             return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
 
 
-def _left_over(ws: Workspace, open_: DataFrame, single: DataFrame, sets: DataFrame, hot: Hot, p: MinHash) -> DataFrame:
-    """All pairs (u, v) across components that may still be links, found in two ways.
+def _left_over(ws: Workspace, open_: DataFrame, single: DataFrame, sets: DataFrame, hot: Hot, p: MinHash, turn: int) -> tuple[DataFrame, bool]:
+    """Pairs (u, v) across components that may still be links, and whether there are others.
+
+    All pairs are found in two ways.
 
     Call a shingle rare if at most ``rare`` open sets have it, and let k be a set's count
     of other shared shingles.  A pair whose intersection must exceed the smaller k shares
@@ -372,6 +407,11 @@ def _left_over(ws: Workspace, open_: DataFrame, single: DataFrame, sets: DataFra
     buckets, from the side that isn't in the bucket's largest component: by a join in
     buckets of up to ``crowd`` members, elsewhere in tiles of two runs of about ``tile``
     members, which yield a pair only if its sketches allow a link.
+
+    As one link joins two components, a tile first yields a forest of its pairs, then, at
+    each further turn with the components of that time, more of them for each row, until
+    none is left out.  So a group of near copies never yields all its pairs, and no pair
+    across components escapes in the end.
     """
     enough = f"(100 + {p.percent}) * (least(k, k2) + r) >= {p.percent} * (n + m) and 100 * least(n, m) >= {p.percent} * greatest(n, m)"
     facts = open_.select("node", "n", "k").distinct()
@@ -398,8 +438,13 @@ def _left_over(ws: Workspace, open_: DataFrame, single: DataFrame, sets: DataFra
     across = F.when(F.col("own"), F.transform(upto(F.col("a")), lambda j: place(0, j, mine, F.lit(1)))).otherwise(F.transform(upto(F.col("b")), lambda j: place(0, mine, j, F.lit(0))))
     among = F.when(F.col("own"), F.slice(across, 1, 0)).otherwise(F.transform(upto(F.col("a")), lambda j: place(1, F.least(mine, j), F.greatest(mine, j), j < mine)))
     tiles = crowded.select("h", "node", "n", "k", "c", "bits", F.explode(F.concat(across, among)).alias("t")).select("h", "t.*", "node", "n", "k", "c", "bits")
-    found = tiles.groupBy("h", "kind", "a", "b").applyInArrow(_tile(p.percent), "u binary, v binary")
-    return rare.where(enough).select("u", "v").union(close.union(found).select(F.least("u", "v"), F.greatest("u", "v"))).distinct()
+    most = p.nearest * 4 ** (turn - 1) if turn else 0
+    found = ws.table(tiles.groupBy("h", "kind", "a", "b").applyInArrow(_tile(p.percent, most), "u binary, v binary, more boolean"))
+    more = not found.where("more").isEmpty()
+    found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    if turn:
+        return found.distinct(), more
+    return rare.where(enough).select("u", "v").union(close.select(F.least("u", "v"), F.greatest("u", "v"))).union(found).distinct(), more
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -443,11 +488,11 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
         roots, tried = None, None
         open_ = members.withColumn("c", F.col("node")).withColumn("s", F.col("n")).withColumn("k", F.col("n"))
         fits = F.expr(f"100 * least(n, m) >= {p.percent} * greatest(n, m) and (100 + {p.percent}) * least(s, z) >= {p.percent} * (n + m)")
-        for t in range(p.rounds + 1):
-            if roots is not None:  # without links so far, all buckets have members of several components
+        for t in count():
+            if t <= p.rounds and roots is not None:  # without links so far, all buckets have members of several components
                 mixed = open_.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("h", "size")
                 open_ = ws.table(open_.drop("size").join(hot.copies(mixed), ["h", "x"]))
-            if open_.isEmpty():
+            if t <= p.rounds and open_.isEmpty():
                 break
             if t in (1, p.rounds):
                 # Shingles that no open set of another component has are in no intersection to come.
@@ -469,18 +514,27 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
                 best = Window.partitionBy("u").orderBy(F.desc("votes"), "v")
                 pairs = votes.withColumn("k", F.row_number().over(best)).where(F.col("k") <= p.tries).select("u", "v")
             else:
-                pairs = _left_over(ws, open_, single, sets, hot, p)
+                pairs, more = _left_over(ws, open_, single, sets, hot, p, t - p.rounds)
                 if tried is not None:
                     pairs = pairs.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
             pairs = ws.table(pairs)
+            last = t >= p.rounds and not more
+            if pairs.isEmpty():
+                if last:
+                    break
+                continue
             links = verified(pairs)
             tried = pairs if tried is None else ws.table(tried.union(pairs))
             if links.isEmpty():
+                if last:
+                    break
                 continue
             if roots is not None:
                 links = links.union(roots.select(F.col("v").alias("u"), F.col("root").alias("v")))
             roots = components(ws, links)
             open_ = open_.drop("c").join(roots.select(F.col("v").alias("node"), F.col("root").alias("r")), "node", "left").select("h", "x", "node", "n", F.coalesce("r", "node").alias("c"), "s", "k", "size")
+            if last:
+                break
 
         per_node = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
         if roots is not None:
