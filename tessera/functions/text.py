@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from itertools import pairwise
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CJK = "[\\u4e00-\\u9fff]"
 _RUN = "[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*"
@@ -55,6 +57,27 @@ def char_bigrams(c: Column) -> Column:
     return F.array_distinct(char_ngrams(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-z\\u4e00-\\u9fff]", ""), 2))
 
 
+_PLAIN = re.compile("[^0-9a-z一-鿿]")
+
+
+def _pairs_of(text: str | None) -> set[str]:
+    plain = _PLAIN.sub("", (text or "").lower())
+    return {a + b for a, b in pairwise(plain)}
+
+
+@F.pandas_udf(T.DoubleType())
+def bigram_share(asked: pd.Series, text: pd.Series) -> pd.Series:
+    """Share of the first text's ``char_bigrams`` that the second has; null where it has none.
+
+    Sets of whole texts' pairs are an array per row and step in SQL; over Arrow they are built once.
+    """
+    out = []
+    for a, b in zip(asked, text, strict=True):
+        own = _pairs_of(a)
+        out.append(len(own & _pairs_of(b)) / len(own) if own else None)
+    return pd.Series(out, dtype="float64")
+
+
 def normalized(c: Column) -> Column:
     """Word characters only, lower-cased."""
     return F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "(?U)[^\\w]+", ""))

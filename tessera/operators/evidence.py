@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import char_bigrams, clamp
+from ..functions.text import bigram_share, clamp
 
 #: Fixed values.
 TIME_SENSITIVE = "今天|明天|后天|现在|此刻|今晚|本周|实时|最新|天气|下雨|菜单|新闻|当前时间|现任|今年|本学期|时刻表|空座位|空闲座位"
@@ -41,12 +41,11 @@ def signals(queries: DataFrame, results: DataFrame, allowed: tuple[str, ...] = A
         F.bool_or(F.col("effective_date").isNotNull() & F.coalesce(F.col("active"), F.lit(True))).alias("current_evidence"), F.array_join(ordered["text"], " ").alias("evidence"),
     )
     out = queries.select("qid", "query").join(facts, "qid", "left").join(modal, "qid", "left")
-    q = char_bigrams(F.col("query"))
     named = F.filter(F.regexp_extract_all("query", F.lit(INSTITUTION), F.lit(1)), lambda x: ~x.isin(*allowed))
     cue = F.array_compact(F.array(*(F.when(F.col("query").rlike(a) & ~F.coalesce(F.col("evidence"), F.lit("")).rlike(b), F.lit(label)) for label, a, b in CUES)))
     return out.select(
         "qid", "query", F.coalesce("n", F.lit(0)).alias("n"), "top_score", F.greatest(F.lit(0.0), F.col("top_score") - F.coalesce("second_score", F.lit(0.0))).alias("margin"),
-        F.coalesce(F.size(F.array_intersect(q, char_bigrams(F.col("evidence")))) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0)).alias("coverage"),
+        F.coalesce(bigram_share(F.col("query"), F.col("evidence")), F.lit(0.0)).alias("coverage"),
         F.coalesce("agree", F.lit(False)).alias("agree"), F.coalesce(F.col("modal") / F.col("n"), F.lit(0.0)).alias("consistency"), F.coalesce("low_quality", F.lit(0.0)).alias("low_quality"),
         F.try_element_at(named, F.lit(1)).alias("wrong_entity"), cue.alias("missing_cues"), F.col("query").rlike(TIME_SENSITIVE).alias("time_sensitive"), F.coalesce("current_evidence", F.lit(False)).alias("current_evidence"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import char_bigrams, clamp
+from ..functions.text import bigram_share, clamp
 
 #: Fixed value: queries that ask for tabular facts.
 TABLE_QUERY = r"分别|对应|排名|区间|比例|占比|折算|表中|列表|明细|各.+(?:多少|是什么|哪些)|地址.+(?:电话|联系电话)|(?:编号|学时|学分).*(?:学期|分别)"
@@ -17,9 +17,7 @@ TABLE_QUERY = r"分别|对应|排名|区间|比例|占比|折算|表中|列表|
 
 def overlap_score(query: Column, text: Column) -> Column:
     """The built-in scorer, in (0, 1): share of the query's character pairs that the text has."""
-    q = char_bigrams(query)
-    share = F.size(F.array_intersect(q, char_bigrams(text))) / F.greatest(F.size(q), F.lit(1))
-    return F.lit(0.01) + 0.98 * clamp(share)
+    return F.lit(0.01) + 0.98 * clamp(F.coalesce(bigram_share(query, text), F.lit(0.0)))
 
 
 def batch_scorer(factory: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = 16):

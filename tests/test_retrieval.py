@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import chunking
 from tessera.config import Config
-from tessera.functions.text import char_bigrams, clean_text, normalized, token_count, tokens, tokens_of
+from tessera.functions.text import bigram_share, char_bigrams, clean_text, normalized, token_count, tokens, tokens_of
 from tessera.operators import answers, dense, evaluate, evidence, extract, fusion, index, ingest, integrity, lexical, rerank
 from tessera.operators.common import dense_index
 from tessera.plans import cli
@@ -592,6 +592,10 @@ def test_tokens_agree(spark):
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(300)] + [None]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tokens(F.col("t")).alias("x")).orderBy("i").collect()
     assert [r.x for r in got] == [tokens_of(t) for t in texts]
+    pairs = spark.createDataFrame(list(zip(texts, texts[7:] + texts[:7])), "a string, b string")
+    q = char_bigrams(F.col("a"))
+    both = pairs.select(bigram_share("a", "b").alias("x"), (F.size(F.array_intersect(q, char_bigrams(F.col("b")))) / F.nullif(F.size(q), F.lit(0))).alias("y"))
+    assert both.where("not (x <=> y)").count() == 0 and both.where("x > 0").count() > 20
 
 
 def test_registered_queries_ask_with_whole_texts(spark, tmp_path):
