@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 #: Matches remembered by a worker and their characters with their ids; the table is turned over beyond
 #: either, so a worker holds two such tables and what one run adds.  Characters, and matches, of a run.
-REMEMBERED, REMEMBERED_BYTES, RUN = 400_000, 48 << 20, 2_000_000
+REMEMBERED, REMEMBERED_BYTES, RUN = 100_000, 16 << 20, 2_000_000
 #: Longest match, in bytes, that shares an array of trees.
 SHARED = 64
 _NONE = np.int64(1) << np.int64(60)
