@@ -21,9 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of an Arrow batch, Spark's setting and the most that a run of an operator takes.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 class Workspace:
     """Tables written for one run of an operator, dropped when the run ends.
 
+    During the run Arrow batches hold fewer rows, so that executor and Python worker each
+    hold a few megabytes of texts or sets per task; afterwards the setting is as before.
+
     ``table`` cuts the lineage by writing Parquet into the shared folder, so a lost
     executor costs no more than the tasks it held.  ``result`` keeps a frame beyond
     the run by a checkpoint.  Spark removes it with the frame where
@@ -37,9 +44,13 @@ class Workspace:
         self.n = 0
 
     def __enter__(self) -> Workspace:
+        self.before = self.spark.conf.get(BATCH)
+        if not 0 < int(self.before) <= BATCH_ROWS:
+            self.spark.conf.set(BATCH, str(BATCH_ROWS))
         return self
 
     def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(BATCH, self.before)
         self._drop(self.root)
 
     def table(self, frame: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from tessera.llm import bpe, chat, decontam, langid, licenses, linededup, minhash, pii, quality, urls
+from tessera.llm import bpe, chat, decontam, langid, licenses, linededup, minhash, pii, quality, store, urls
 
 from .conftest import prose
 
@@ -182,9 +182,12 @@ def test_components_chain(spark):
     rows = [(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)]
     rows += [(300 + 7 * k % 50, 200) for k in range(60)] + [(200, 350), (351, 350)]
     for large_from in (1 << 20, 5):
+        batch = spark.conf.get(store.BATCH)
         with Workspace(spark) as ws:
+            assert int(spark.conf.get(store.BATCH)) <= store.BATCH_ROWS
             got = {r.v: r.root for r in minhash.components(ws, spark.createDataFrame(rows, "u long, v long"), large_from).collect()}
         assert got == {k: 0 for k in range(1, 61)} | {101: 100} | {k: 200 for k in range(300, 352)}
+        assert spark.conf.get(store.BATCH) == batch
 
 
 # --- 2 ---
