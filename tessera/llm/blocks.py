@@ -6,7 +6,8 @@ agree about where a word starts and ends.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ _FOLDED = _EXACT[LOWER]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
     if len(_powers) < n:
-        size = 1 << int(n).bit_length()
+        size = 1 << (int(n) - 1).bit_length()
         both = []
         for base in (_BASE, _BASE_INVERSE):
             steps = np.full(size, base, np.uint64)
@@ -59,6 +60,45 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers, _inverse
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+#: What operators keep in a worker from task to task, each with what drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Return to the system what Arrow's and C's allocators hold but don't use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Run, owner: str = "") -> Run:
+    """``run`` in a worker that other operators use too: it drops what they keep before, and gives back unused memory after a task."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, drop in KEPT.items():
+            if name != owner:
+                drop()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
+def text_last(run: Run, columns: list[str], name: str, text_col: str = "text") -> Run:
+    """``run``, which takes its last column as texts, for batches of ``columns``; the texts come as one column and are seen as two."""
+    k = columns.index(text_col)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(pa.RecordBatch.from_arrays([*b.columns, b.column(k)], [*b.schema.names, name]) for b in batches)
+
+    return seen
+
+
 def free(columns: Iterable[str], name: str) -> str:
     """A column name like ``name`` that none of ``columns`` has, in any case of letters."""
     taken = {c.lower() for c in columns}
@@ -116,7 +156,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, "right")))
         low = int(starts[at])
         part = data[low : int(ends[to - 1])]
-        powers, inverse = _power_tables(len(part) + 1)
+        powers, inverse = _power_tables(len(part))
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(table[part] * powers[: len(part)], out=sums[1:])
         a, b = starts[at:to] - low, ends[at:to] - low

@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from . import blocks as B
+
 #: Matches remembered by a worker and their characters with their ids; the table is turned over beyond
 #: either, so a worker holds two such tables and what one run adds.  Characters, and matches, of a run.
 REMEMBERED, REMEMBERED_BYTES, RUN = 100_000, 16 << 20, 2_000_000
@@ -206,6 +208,10 @@ def _load(path: str, pattern: str) -> Bpe:
         return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
 
+#: A vocabulary and its remembered matches serve all tasks of a worker, until another operator's task comes.
+B.KEPT["bpe"] = _load.cache_clear
+
+
 def _digests(vocabulary: Callable[[], Bpe]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary()
@@ -243,7 +249,7 @@ def _digests(vocabulary: Callable[[], Bpe]) -> Callable[[Iterator[pa.RecordBatch
 
 def digests(docs: DataFrame, path: Path, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every text; its number of tokens and digests of ids and of decoded bytes."""
-    return docs.select(id_col, text_col).mapInArrow(_digests(lambda: load(path, pattern)), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(B.lean(_digests(lambda: load(path, pattern)), "bpe"), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_ids(docs: DataFrame, path: Path, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

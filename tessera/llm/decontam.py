@@ -191,10 +191,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n, blocks = benchmark_blocks(benchmark, p)
     if n == 1:
-        return _verdict(rows.mapInArrow(_found(next(blocks), p, False), f"id {kind}, {hit}"), id_col)
+        return _verdict(rows.mapInArrow(B.lean(_found(next(blocks), p, False)), f"id {kind}, {hit}"), id_col)
     with Workspace(spark) as ws:
         keyed = rows.select("id", F.xxhash64("text").alias("key"), "text")
-        parts = [ws.table(keyed.mapInArrow(_found(block, p, False), f"id {kind}, key long, {hit}").where("size(hits) > 0")) for block in blocks]
+        parts = [ws.table(keyed.mapInArrow(B.lean(_found(block, p, False)), f"id {kind}, key long, {hit}").where("size(hits) > 0")) for block in blocks]
         every = reduce(DataFrame.union, parts).groupBy(F.col("id").alias("i"), F.col("key").alias("k")).agg(F.flatten(F.collect_set("hits")).alias("hits"))
         met = keyed.join(every, keyed["id"].eqNullSafe(every["i"]) & (keyed["key"] == every["k"]), "left")
         return ws.result(_verdict(met.select("id", F.coalesce("hits", F.array()).alias("hits")), id_col))
@@ -208,11 +208,11 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Tiling
     """
     n, blocks = benchmark_blocks(benchmark, p)
     if n == 1:
-        return docs.select("*", F.col("text").alias(B.free(docs.columns, "tiled"))).mapInArrow(_found(next(blocks), p, True), docs.schema)
+        return docs.mapInArrow(B.lean(B.text_last(_found(next(blocks), p, True), docs.columns, B.free(docs.columns, "tiled"))), docs.schema)
     kind, (gone, key) = docs.schema["doc_id"].dataType.simpleString(), (B.free(docs.columns, x) for x in ("gone", "gone_key"))
     with Workspace(spark) as ws:
         rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
         hit = "hits array<struct<item bigint, covered bigint, words bigint>>"
-        parts = [ws.table(rows.mapInArrow(_found(block, p, False), f"id {kind}, key long, {hit}").where("size(hits) > 0").select("id", "key").distinct()) for block in blocks]
+        parts = [ws.table(rows.mapInArrow(B.lean(_found(block, p, False)), f"id {kind}, key long, {hit}").where("size(hits) > 0").select("id", "key").distinct()) for block in blocks]
         marks = ws.result(reduce(DataFrame.union, parts).distinct().select(F.col("id").alias(gone), F.col("key").alias(key)))
     return docs.join(marks, docs["doc_id"].eqNullSafe(marks[gone]) & (F.xxhash64(docs["text"]) == marks[key]), "left_anti")

@@ -457,7 +457,7 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
     with Workspace(spark) as ws:
         id_type = docs.schema[id_col].dataType
         rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        signed = ws.table(rows.mapInArrow(_signed(p), f"id {id_type.simpleString()}, n long, node binary, buckets array<long>"))
+        signed = ws.table(rows.mapInArrow(B.lean(_signed(p)), f"id {id_type.simpleString()}, n long, node binary, buckets array<long>"))
 
         nodes = signed.where("node is not null").dropDuplicates(["node"])
         spread = nodes.select("node", "n", F.explode("buckets").alias("h"))
@@ -469,7 +469,7 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
         wanted = members.select("node").distinct()
         bearers = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node", "left_semi")
         texts = rows.join(bearers.select(F.col("id").alias("b")).distinct(), F.col("id").eqNullSafe(F.col("b")), "left_semi").select("text")
-        sets = ws.table(texts.mapInArrow(_sets(p), "node binary, n long, members binary, bits binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+        sets = ws.table(texts.mapInArrow(B.lean(_sets(p)), "node binary, n long, members binary, bits binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
         def verified(pairs: DataFrame) -> DataFrame:
             """The links among a table of pairs: sketches first, full sets of what they let through."""
@@ -481,8 +481,8 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
                     some = busy.join(some, sets.select(F.col("node").alias(end), *(F.col(c).alias(names[c != "n"]) for c in what)), mate, end)
                 return some
 
-            alike = ws.table(with_both(pairs, ["n", "bits"]).select("u", "v", "n", "m", "a", "b").mapInArrow(_alike(p.percent), "u binary, v binary"))
-            return ws.table(with_both(alike, ["members"]).select("u", "v", "a", "b").mapInArrow(_confirmed(p.percent), "u binary, v binary"))
+            alike = ws.table(with_both(pairs, ["n", "bits"]).select("u", "v", "n", "m", "a", "b").mapInArrow(B.lean(_alike(p.percent)), "u binary, v binary"))
+            return ws.table(with_both(alike, ["members"]).select("u", "v", "a", "b").mapInArrow(B.lean(_confirmed(p.percent)), "u binary, v binary"))
 
         # An intersection can't exceed the smaller of the two sets' counts of shared shingles, nor fall below what the threshold asks of their sizes.
         roots, tried = None, None
@@ -497,7 +497,7 @@ def _verdicts(spark: SparkSession, docs: DataFrame, p: MinHash, id_col: str = "d
             if t in (1, p.rounds):
                 # Shingles that no open set of another component has are in no intersection to come.
                 here = open_.select("node", "c").distinct()
-                single = sets.join(here, "node").select("node", "members", "c").mapInArrow(_single, "g long, node binary, c binary")
+                single = sets.join(here, "node").select("node", "members", "c").mapInArrow(B.lean(_single), "g long, node binary, c binary")
                 foreign = ws.table(single.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("many")).where("c0 <> c1").select("g", "many"))
                 often = Hot(foreign, "g", foreign.agg(F.sum("many")).first()[0] or 0, p.hot_share, p.hot_least)
                 single = ws.table(often.join(single, foreign.withColumnRenamed("many", "df"), "node"))
@@ -573,7 +573,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, p: MinHash = MinHash()) -> Da
         marks = linked.join(best, "_root").select(F.col("doc_id").alias(own["gone"]), F.col("_node").alias(own["gone_node"]), place.eqNullSafe(F.col("best")).alias(own["best"]), "rows")
         marks = ws.result(marks.where(~F.col(own["best"]) | (F.col("rows") > 1)).drop("rows"))
     schema = T.StructType([*docs.schema.fields, T.StructField(own["node"], T.BinaryType())])
-    named = docs.select("*", docs["text"].alias(own["node"])).mapInArrow(_with_names(p), schema)
+    named = docs.mapInArrow(B.lean(B.text_last(_with_names(p), docs.columns, own["node"])), schema)
     met = lambda side: named["doc_id"].eqNullSafe(side[own["gone"]]) & (named[own["node"]] == side[own["gone_node"]])
     out = named.join(marks, met(marks), "left_anti").select(*docs.columns)
     tied = marks.where(F.col(own["best"]))

@@ -11,6 +11,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Spark's bound of the bytes of an Arrow batch, and ours: JVM and Python worker each hold a few batches per task.
+BATCH_BYTES, MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def ship(spark: SparkSession) -> None:
     """Give the package to the executors, once per context, as ``--py-files`` would."""
@@ -26,12 +29,23 @@ def ship(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well as rows, as 10,000 texts may be long; a smaller bound stays.
+
+    Results are lazy, so the bound must outlast the query: the session keeps it.
+    """
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES))
+    if not 0 < now <= MOST_BYTES:
+        spark.conf.set(BATCH_BYTES, str(MOST_BYTES))
+
+
 def shipped(query: Callable) -> Callable:
-    """A query or stage, its session first, that ships the package before it runs."""
+    """A query or stage, its session first, that readies the session before it runs."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, *args):
         ship(spark)
+        small_batches(spark)
         return query(spark, *args)
 
     return run

@@ -2,11 +2,12 @@ import collections
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
 import corpus_pipeline
-from tessera.llm import decontam
+from tessera.llm import blocks, bpe, decontam
 
 from .conftest import SCHEMA, prose
 from .test_operators import ALNUM, brute_components, brute_quality, brute_runs, brute_tiling, low, sha
@@ -87,3 +88,32 @@ def test_several_benchmark_blocks(spark, folder, monkeypatch):
     assert one == many and len(one) < len(texts)
     clashing = docs.withColumn("_gone", docs.doc_id).withColumn("_gone_key", docs.doc_id).withColumn("_tiled", docs.doc_id)
     assert decontam.clean(spark, clashing, bench, p).columns == clashing.columns
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "decontaminate"])
+def test_scans_send_each_text_once_in_small_batches(spark, folder, name):
+    home, _, _ = folder
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(bound)
+    try:
+        docs = spark.read.parquet(f"{home}/documents.parquet")
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, home)
+        sent = out._jdf.queryExecution().analyzed().children().head().output()
+        assert [sent.apply(k).name() for k in range(sent.size())] == docs.columns
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+        wide = spark.range(0, 5000, 1, 1).selectExpr("id", "repeat('x', 4000) as text")
+        found = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+        assert sum(found) > 20_000_000 and max(found) < 5 << 20
+    finally:
+        spark.conf.unset(bound)
+
+
+def test_a_worker_drops_what_other_operators_keep():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    bpe.load(path, public_tokenizers.PATTERN)
+    assert list(blocks.lean(lambda batches: batches, "bpe")(iter([1, 2]))) == [1, 2] and bpe._load.cache_info().currsize
+    assert list(blocks.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2] and not bpe._load.cache_info().currsize
